@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_chunks, common, packing, records
+from quire.llm import bpe_chunks, chat, common, fingerprint, neardup, packing, records, sharding, topk
 from quire.session import table
 
 
@@ -33,5 +33,37 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_codec, op8_token_records, op9_pack_sequences)}
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the formatted windows, by conversation."""
+    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    added = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))])).alias("t"))
+    added = added.select("conv_id", "t.turn", "t.role", F.lit("\\### Assistant: </turn> ok").alias("text"))
+    back = chat.read_back(chat.windows(given.unionByName(added)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    window = F.struct("window", F.size("turns").alias("n"), told.alias("told"), F.array_join("targets", "").alias("loss"), "n_chars")
+    held = back.groupBy("conv_id").agg(F.sort_array(F.collect_list(window)).alias("w"))
+    joined = lambda name: F.array_join(F.transform("w", lambda x: x[name]), "")
+    total = lambda name: F.aggregate(F.transform("w", lambda x: x[name].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = held.select("conv_id", total("n").alias("n_turns"), joined("told").alias("told"), joined("loss").alias("loss"), total("n_chars").alias("formatted_chars"))
+    return rows.select("conv_id", "n_turns", F.sha2(F.col("told").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_bpe_codec, op4_chat_windows, op5_near_duplicates, op6_shard_documents, op8_token_records, op9_pack_sequences)}
 ORACLES: dict[str, str] = {}
