@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe_chunks, chat, common, fingerprint, neardup, packing, records, sharding, topk
+from quire.llm import bpe_chunks, chat, common, fingerprint, neardup, packing, pii, records, sharding, topk
 from quire.session import table
 
 
@@ -65,5 +65,11 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "n_turns", F.sha2(F.col("told").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_bpe_codec, op4_chat_windows, op5_near_duplicates, op6_shard_documents, op8_token_records, op9_pack_sequences)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *map(count, pii.KINDS), F.sha2(pii.told("base").cast("binary"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_bpe_codec, op4_chat_windows, op5_near_duplicates, op6_shard_documents, op8_token_records, op9_pack_sequences, op10_personal_data)}
 ORACLES: dict[str, str] = {}
