@@ -151,8 +151,10 @@ def fit(docs: DataFrame, per_label: int = 300, spans: int = 2) -> Model:
     rows = docs.select("doc_id", "text", "lang").filter(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.get(F.from_json(F.lit("{}"), "map<string,double>"), F.col("lang")) if not counts else F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_label / n))]), F.col("lang"))
-    sample = [(r["text"], r["lang"]) for r in rows.filter(chance < share).select("text", "lang").limit(2 * per_label * max(1, len(counts))).collect()] if counts else []
+    if not counts:
+        return fit_texts([])
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_label / n))]), F.col("lang"))
+    sample = [(r["text"], r["lang"]) for r in rows.filter(chance < share).select("text", "lang").collect()]
     return fit_texts(sorted(sample), spans)
 
 
@@ -202,9 +204,6 @@ class Labeler:
         return [self.model.labels[i] if ok else UNKNOWN for i, ok in zip(top, found, strict=True)], [min(1.0, float(share[r, i])) if ok else 0.0 for r, (i, ok) in enumerate(zip(top, found, strict=True))]
 
 
-_LABELERS: dict[int, Labeler] = {}
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The `keep` columns with lang_pred and score for every row, from the text alone.
 
@@ -215,7 +214,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS rows and the lexicon of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeler = _LABELERS.setdefault(sent._id if hasattr(sent, "_id") else id(sent.value), Labeler(sent.value))
+        labeler = Labeler(sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
