@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from quire.plans import curves, merges, texts  # noqa: E402, F401  (they register their queries)
