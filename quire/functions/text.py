@@ -202,11 +202,12 @@ def first_heading(text: Column) -> Column:
 
 
 def safe_url(url: Column) -> Column:
-    """The address if a page may link to it, else the empty string."""
+    """The address if a page may link to it (http, mailto, anchors, relative paths), else #; empty for null."""
     u = F.btrim(F.coalesce(url, F.lit("")), F.lit(BLANK))
-    bare = F.regexp_replace(F.lower(u), r"[\x00-\x20]", "")
-    scheme = F.regexp_extract(bare, r"^([a-z][a-z0-9+.-]*):", 1)
-    return F.when(bare.startswith("//") | ~scheme.isin("", "http", "https", "mailto"), "").otherwise(u)
+    low = F.regexp_replace(F.lower(u), r"[\t\r\n]", "")
+    known = low.rlike(r"^(?:https?://|mailto:|#|\.{0,2}/)")
+    relative = ~F.contains(u, F.lit("://")) & ~F.contains(F.substring_index(u, "/", 1), F.lit(":"))
+    return F.when(low.startswith("//") | low.rlike("^(?:javascript|data|vbscript|file):"), "#").when(known | relative, u).otherwise("#")
 
 
 def public_url(url: Column) -> Column:
@@ -217,7 +218,8 @@ def public_url(url: Column) -> Column:
 
 
 def safe_style(style: Column) -> Column:
-    return F.when(style.rlike(r"^\s*(?:text-align\s*:\s*(?:left|right|center)\s*;?\s*)$"), style).otherwise("")
+    """The style if nothing in it can load or run, else the empty string."""
+    return F.when(F.lower(style).rlike(r"url\(|expression\(|javascript:|@import"), "").otherwise(F.coalesce(style, F.lit("")))
 
 
 def yaml_quoted(text: Column) -> Column:

@@ -149,7 +149,7 @@ def first_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.first_heading(given).alias("heading"))
 
 
-@query("safe_urls", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN url ELSE '' END AS href, page_id % 4 = 0 AND regexp_matches(url, '^https?://') AS public FROM pages""")
+@query("safe_urls", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN url ELSE '#' END AS href, page_id % 4 = 0 AND regexp_matches(url, '^https?://') AS public FROM pages""")
 def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("page_id") % 4, F.col("url")
     given = F.when(k == 0, u).when(k == 1, F.concat(F.lit("java\tscript:"), u)).when(k == 2, F.concat(F.lit("//"), u)).otherwise("data:text/html,x")
