@@ -200,3 +200,31 @@ def inferred_title(text: Column, stem: Column) -> Column:
     """The first line longer than 8 if it is shorter than 180 characters, else the file's stem in words."""
     first = F.get(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.btrim(s, F.lit(T.BLANK))), lambda s: F.length(s) > 8), F.lit(0))
     return F.when(F.length(first) < 180, first).otherwise(F.translate(stem, "_-", "  "))
+
+
+def block_signature(blocks: Column, version: int) -> Column:
+    """A cache key of the blocks' texts and the version that cut them; places don't count."""
+    lines = F.transform(blocks, lambda b: F.concat(b["i"].cast("string"), F.lit(":"), F.btrim(F.coalesce(b["text"], F.lit("")), F.lit(T.BLANK))))
+    return F.array_join(F.concat(F.array(F.lit(f"v{version}")), lines), "\n")
+
+
+def checked_markers(c: Column) -> Column:
+    """⟦TABLE:…⟧ and ⟦FORMULA:…⟧ markers with one decimal if they hold a valid box, else their kind in brackets."""
+    marker = r"⟦(?:TABLE|FORMULA):[^⟧\n]*⟧"
+    numbers = lambda m: F.transform(F.split(F.regexp_extract(m, r":([^⟧]*)⟧", 1), ","), lambda n: F.btrim(n, F.lit(" ")).try_cast("double"))
+    sound = lambda v: (F.size(v) == 4) & F.forall(v, lambda n: n.isNotNull() & (F.abs(n) < 1e9)) & (F.get(v, F.lit(2)) > F.get(v, F.lit(0))) & (F.get(v, F.lit(3)) > F.get(v, F.lit(1)))
+    kind = lambda m: F.regexp_extract(m, r"⟦(\w+):", 1)
+    shown = lambda m: F.when(sound(numbers(m)), F.concat(F.lit("⟦"), kind(m), F.lit(":"), F.array_join(F.transform(numbers(m), lambda n: F.format_string("%.1f", n)), ","), F.lit("⟧"))).otherwise(F.concat(F.lit("["), kind(m), F.lit("]")))
+    markers = F.regexp_extract_all(c, F.lit(marker), F.lit(0))
+    return F.array_join(F.zip_with(F.split(c, marker, -1), markers, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(shown(m)))), "")
+
+
+def first_translation(sources: list[tuple[Column, Column, Column]], version: int) -> Column:
+    """The first of the sources (text, its version, whether it was read) that was
+    read, has the current version and isn't empty; an unknown version never counts."""
+    return F.coalesce(*[F.when(F.coalesce(read, F.lit(False)) & v.eqNullSafe(F.lit(version)) & (F.coalesce(t, F.lit("")) != ""), t) for t, v, read in sources])
+
+
+def rate_profile(model: Column) -> Column:
+    """Requests a minute by a model's name. The free model's 11, others' 30."""
+    return F.when(F.contains(F.lower(F.coalesce(model, F.lit(""))), F.lit("agnes")), 11).otherwise(30)

@@ -126,3 +126,22 @@ def attached(lines: DataFrame, by: list[str], share: float = 0.6) -> DataFrame:
 
     kinds = ", ".join(f"{c} {k}" for c, k in lines.dtypes)
     return lines.groupBy(*by).applyInPandas(run, f"{kinds}, host long")
+
+
+def snapped(cuts: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
+    """Cuts (y) moved to the nearer edge of the line interval (top, bottom) they
+    would cut, ties to the top. Intervals don't overlap, so a cut meets one at most."""
+    i = intervals.select(*by, F.col("top").alias("_t"), F.col("bottom").alias("_b"))
+    inside = (F.col("y") > F.col("_t")) & (F.col("y") < F.col("_b"))
+    on = inside
+    for c in by:
+        on = on & (cuts[c] == i[c])
+    rows = cuts.join(i, on, "left").select(*[cuts[c] for c in cuts.columns], "_t", "_b")
+    y = F.when(F.col("_t").isNull(), F.col("y")).when(F.col("y") - F.col("_t") <= F.col("_b") - F.col("y"), F.col("_t")).otherwise(F.col("_b"))
+    return rows.withColumn("snapped", y).drop("_t", "_b")
+
+
+def clamped(box: Column, width: float, height: float, pad: float) -> Column:
+    """A padded box (array of four) inside the page."""
+    side = lambda i, d, most: F.least(F.greatest(F.get(box, F.lit(i)) + d, F.lit(0.0)), F.lit(float(most)))
+    return F.array(side(0, -pad, width), side(1, -pad, height), side(2, pad, width), side(3, pad, height))

@@ -75,3 +75,30 @@ def released_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Releases and propagated deletes as an update of manifest rows."""
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(k, F.when(k % 3 != 0, "a").alias("owner"), (k % 5 == 0).alias("deleted"), ((k % 5 == 0) & (k % 2 == 0)).alias("propagate"))
+
+
+@query("block_signatures", "SELECT conv_id, 'v1' || chr(10) || string_agg(turn || ':' || trim(text, ' ' || chr(10)), chr(10) ORDER BY turn) AS signature FROM conversations GROUP BY conv_id")
+def block_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("i"), "text"))).alias("b"))
+    return blocks.select("conv_id", markup.block_signature(F.col("b"), 1).alias("signature"))
+
+
+@query("checked_markers", "SELECT event_id, 'a ⟦TABLE:1.0,2.0,' || (event_id % 9 + 3) || '.0,4.2⟧ b [FORMULA]' || event_type AS text FROM events")
+def checked_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.concat(F.lit("a ⟦TABLE:1, 2,"), (F.col("event_id") % 9 + 3).cast("string"), F.lit(",4.24⟧ b ⟦FORMULA:5,1,2,x⟧"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", markup.checked_markers(given).alias("text"))
+
+
+@query("first_translations", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 > 0 THEN 'local' WHEN event_id % 5 > 0 THEN 'cloud' ELSE 'seed' END AS text FROM events")
+def first_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local, cloud or baked-in translations, each behind its own version."""
+    k = F.col("event_id")
+    version = F.when(k % 3 > 0, 5)
+    sources = [(F.lit("local"), version, k % 2 == 0), (F.when(k % 5 > 0, "cloud").otherwise(""), F.lit(5), F.lit(True)), (F.lit("seed"), F.lit(5), F.lit(True))]
+    return table(spark, sf_dir, "events").select("event_id", markup.first_translation(sources, 5).alias("text"))
+
+
+@query("rate_profiles", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 11 ELSE 30 END AS rpm FROM events")
+def rate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.get(F.array(F.lit("AGNES-2"), F.lit("other"), F.lit(None).cast("string")), (F.col("event_id") % 3).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", markup.rate_profile(model).alias("rpm"))

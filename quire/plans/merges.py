@@ -228,3 +228,30 @@ def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     props = F.when(F.col("event_id") % 6 == 0, F.left(F.col("props"), F.lit(3))).otherwise(F.col("props"))
     return classified(table(spark, sf_dir, "events").select("event_id", props.alias("json")), "json", "k bigint").select("event_id", "state", F.col("parsed.k").alias("k"))
+
+
+PARTS = {"push": "manifest_push", "pull": "manifest_pull", "remote": "remote_scan"}
+
+
+def _sync_sql() -> str:
+    from quire.plans.registry import ORACLES
+
+    one = [f"SELECT '{c}' AS channel, action AS outcome, count(*) AS n FROM ({ORACLES[q]}) GROUP BY action" for c, q in PARTS.items()]
+    one.append(f"SELECT 'notes' AS channel, outcome, count(*) AS n FROM ({ORACLES['three_way_notes']}) GROUP BY outcome")
+    one.append(f"SELECT 'annotations' AS channel, 'kept' AS outcome, count(*) AS n FROM ({ORACLES['annotations_lww']})")
+    one.append(f"SELECT 'snapshots' AS channel, 'pages' AS outcome, count(*) AS n FROM ({ORACLES['snapshot_pages']})")
+    return " UNION ALL ".join(one)
+
+
+@query("sync_report", _sync_sql())
+def sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All channels of a sync, by outcome."""
+    channels = {"push": manifest_push, "pull": manifest_pull, "remote": remote_scan}
+    parts = [f(spark, sf_dir).select(F.lit(c).alias("channel"), F.col("action").alias("outcome")) for c, f in channels.items()]
+    parts.append(three_way_notes(spark, sf_dir).select(F.lit("notes").alias("channel"), "outcome"))
+    parts.append(annotations_lww(spark, sf_dir).select(F.lit("annotations").alias("channel"), F.lit("kept").alias("outcome")))
+    parts.append(snapshot_pages(spark, sf_dir).select(F.lit("snapshots").alias("channel"), F.lit("pages").alias("outcome")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("channel", "outcome").agg(F.count(F.lit(1)).alias("n"))

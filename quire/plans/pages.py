@@ -160,3 +160,18 @@ def rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with overlaps put together again."""
     made = chunking.chunked(table(spark, sf_dir, "documents").filter("lang = 'es'"), "doc_id", "text", 1500, 2500, 120)
     return chunking.reassembled(made, "doc_id")
+
+
+@query("snapped_cuts", f"""WITH {LINES}, r AS (SELECT *, max(bottom) OVER (PARTITION BY doc_id ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),
+g AS (SELECT *, sum((reach IS NULL OR top > reach + 0.5)::INT) OVER (PARTITION BY doc_id ORDER BY top, bottom ROWS UNBOUNDED PRECEDING) AS run FROM r), i AS (SELECT doc_id, min(top) AS t, max(bottom) AS b FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, unnest([20.0, 45.5, 101.0])::DOUBLE AS y FROM documents) SELECT c.doc_id, c.y, CASE WHEN t IS NULL THEN c.y WHEN c.y - t <= b - c.y THEN t ELSE b END AS snapped FROM c LEFT JOIN i ON i.doc_id = c.doc_id AND c.y > t AND c.y < b""")
+def snapped_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(20.0), F.lit(45.5), F.lit(101.0))).alias("y"))
+    return layout.snapped(cuts, layout.merged_intervals(lines(spark, sf_dir), ["doc_id"]), ["doc_id"])
+
+
+@query("clamped_boxes", f"WITH {LINES} SELECT doc_id, n, greatest(x0 - 2, 0) AS x0, greatest(top - 2, 0) AS y0, least(x1 + 2, 300) AS x1, least(bottom + 2, 90) AS y1 FROM l WHERE top < 80")
+def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = layout.clamped(F.array("x0", "top", "x1", "bottom"), 300, 90, 2)
+    rows = lines(spark, sf_dir).filter("top < 80").select("doc_id", "n", box.alias("b"))
+    return rows.select("doc_id", "n", *[F.get("b", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
