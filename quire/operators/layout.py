@@ -145,3 +145,51 @@ def clamped(box: Column, width: float, height: float, pad: float) -> Column:
     """A padded box (array of four) inside the page."""
     side = lambda i, d, most: F.least(F.greatest(F.get(box, F.lit(i)) + d, F.lit(0.0)), F.lit(float(most)))
     return F.array(side(0, -pad, width), side(1, -pad, height), side(2, pad, width), side(3, pad, height))
+
+
+def table_regions(words: DataFrame, by: list[str], gap: float = 16.0, least: int = 2, numeric: int = 2) -> DataFrame:
+    """by, top, bottom, bands: runs of table-like bands of words (band, top,
+    bottom, text), that is bands with a number and without four words of prose,
+    close enough to each other, as long as enough of them are numeric."""
+    prose = F.regexp_count("text", F.lit(r"(?<![A-Za-z])[A-Z]?[a-z]{3,}(?![A-Za-z])"))
+    bands = words.groupBy(*by, "band").agg(
+        F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.sum(prose).alias("prose"),
+        F.count_if(F.col("text").rlike(r"\d")).alias("numbers"), F.count_if(F.length(F.regexp_replace("text", r"\D", "")) >= 3).alias("long_numbers"),
+    )
+    w = Window.partitionBy(*by).orderBy("top")
+    like = (F.col("prose") < 4) & (F.col("numbers") >= 1)
+    rows = bands.withColumn("_like", like).withColumn("_after", F.lag("_like").over(w) & (F.col("top") - F.lag("bottom").over(w) <= gap))
+    rows = rows.withColumn("_run", F.sum((~F.coalesce("_after", F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_like")
+    found = rows.groupBy(*by, "_run").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.count(F.lit(1)).alias("bands"), F.count_if(F.col("long_numbers") >= 1).alias("_numeric"))
+    return found.filter((F.col("bands") >= least) & (F.col("_numeric") >= numeric)).select(*by, "top", "bottom", "bands")
+
+
+def merged_fragments(boxes: DataFrame, by: list[str], gap: float = 5.0, fragile: int = 4) -> DataFrame:
+    """Boxes (i, kind, col, split, x0, top, x1, bottom, text) of a page with those
+    joined to the one before that a band has cut off (it only starts there, in the
+    same column, body to body, closer than `gap`), and then stray short ones to
+    the right of the one before in its column. Each join changes what the next
+    box is held against, so a page is one small group."""
+
+    def join(rows: list[dict], cut) -> list[dict]:
+        out: list[dict] = []
+        for b in rows:
+            if out and cut(out[-1], b):
+                p = out[-1]
+                p["text"] = f"{p['text']}\n{b['text']}".strip()
+                p["x1"], p["bottom"] = max(p["x1"], b["x1"]), max(p["bottom"], b["bottom"])
+            else:
+                out.append(dict(b))
+        return out
+
+    def band(p: dict, b: dict) -> bool:
+        return b["split"] == "start" and p["col"] == b["col"] and p["kind"] == b["kind"] == "body" and b["top"] - p["bottom"] < gap
+
+    def stray(p: dict, b: dict) -> bool:
+        return len(b["text"].strip()) < fragile and b["kind"] == "body" and p["col"] == b["col"] and b["x0"] > p["x0"] + 1.0
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        rows = join(join(page.sort_values("i").to_dict("records"), band), stray)
+        return pd.DataFrame(rows, columns=page.columns).assign(i=range(len(rows)))
+
+    return boxes.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in boxes.dtypes))

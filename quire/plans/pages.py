@@ -175,3 +175,29 @@ def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = layout.clamped(F.array("x0", "top", "x1", "bottom"), 300, 90, 2)
     rows = lines(spark, sf_dir).filter("top < 80").select("doc_id", "n", box.alias("b"))
     return rows.select("doc_id", "n", *[F.get("b", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("mathish_lines", "SELECT event_id, [false, true, true, false, true, false, true][1 + event_id % 7] AS mathish FROM events")
+def mathish_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.functions.text import mathish
+
+    given = ("are assumed: α = 0.05 and so", "eeff ¼ 33 33 (3)", "x", "in of as", "ndm gp", "a sentence of plain words", "(cid:3) 1")
+    line = F.get(F.array(*map(F.lit, given)), (F.col("event_id") % 7).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", mathish(line).alias("mathish"))
+
+
+@query("table_regions", f"""WITH {LINES}, w AS (SELECT doc_id, n, top, bottom, CASE WHEN length(line) % 3 = 0 THEN 'the plain words of prose here' ELSE 'PZT-5 ' || (1000 + n) END AS text FROM l),
+k AS (SELECT *, text LIKE 'PZT%' AS tl FROM w), a AS (SELECT *, coalesce(lag(tl) OVER v AND top - lag(bottom) OVER v <= 3, false) AS after FROM k WINDOW v AS (PARTITION BY doc_id ORDER BY top)),
+r AS (SELECT *, sum((NOT after)::INT) OVER (PARTITION BY doc_id ORDER BY top) AS run FROM a)
+SELECT doc_id, min(top) AS top, max(bottom) AS bottom, count(*) AS bands FROM r WHERE tl GROUP BY doc_id, run HAVING count(*) >= 2""")
+def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.length("line") % 3 == 0, "the plain words of prose here").otherwise(F.concat(F.lit("PZT-5 "), (1000 + F.col("n")).cast("string")))
+    words = lines(spark, sf_dir).select("doc_id", F.col("n").alias("band"), "top", "bottom", text.alias("text"))
+    return layout.table_regions(words, ["doc_id"], gap=3.0)
+
+
+@query("merged_fragments")
+def merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.when(F.col("n") % 3 == 0, "start").otherwise("indent")
+    rows = lines(spark, sf_dir).select("doc_id", F.col("n").alias("i"), F.lit("body").alias("kind"), (F.col("n") % 2).alias("col"), split.alias("split"), "x0", "top", "x1", "bottom", F.col("line").alias("text"))
+    return layout.merged_fragments(rows, ["doc_id"])
