@@ -10,12 +10,18 @@ hashes.
 
 Rows with equal sets are one class. Classes that agree in all rows of a band
 share a bucket. A bucket never lists its pairs: first each class is linked to
-the first class of its bucket, links are confirmed on full sets and joined to
-components. Only buckets that still hold several components are looked at
-again, pair by pair across components on packed sketches, in blocks; pairs that
-may reach the threshold are confirmed on full sets. Should more than a number of
-them remain between two components of a bucket, the best go first and the
-others follow in further rounds, until none is left.
+the most central class of its bucket, the one with the least share of shingles
+of its own; links are confirmed on full sets and joined to components. Only
+buckets that still hold several components are looked at again, in blocks of a
+bounded number of shingles: pairs across components whose packed sketches leave
+the threshold open are counted on full sets, as bits over the shingles that the
+block shares. A pair that is linked joins two components and only that leaves
+the block, so there are fewer links than rows.
+
+Shingles that no other class of any bucket has bound what a class can share
+with any other, and with them the similarity of a pair. This bound is exact. It
+rules out most pairs that share a long passage or a common origin, and many
+classes as a whole.
 
 A pair at similarity 0.75 misses all 32 bands of 4 rows with probability 5e-6,
 a closer one less.
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common
@@ -39,7 +45,7 @@ SIZE = BANDS * ROWS
 PERCENT = 75
 #: Estimates below this can't belong to pairs of 0.75: over five standard deviations.
 PLAUSIBLE = 0.55
-BLOCK, FIRST_PAIRS, GROWTH = 2048, 64, 16
+BLOCK_ROWS, BLOCK_SHINGLES, MOST_BITS = 2048, 1_000_000, 200_000_000
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -114,6 +120,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def sharable(sets: DataFrame) -> DataFrame:
+    """cid, n, most: the size of a set, and how many of its shingles any other class has."""
+    rows = sets.select("cid", F.explode("shingles").alias("s"))
+    own = rows.groupBy("s").agg(F.min("cid").alias("cid"), F.count(F.lit(1)).alias("m")).filter("m = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+    n = F.size("shingles").cast("long")
+    return sets.select("cid", n.alias("n")).join(own, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+
+
+def possible(n: Column, most: Column, m: Column, most_m: Column) -> Column:
+    """Whether two sets of these sizes and sharable parts can reach the threshold."""
+    both = F.least(most, most_m)
+    return 100 * both >= PERCENT * (n + m - both)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes with an edge, by
     alternating large and small stars until nothing changes. Every round is a
@@ -138,35 +158,53 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def across(members: DataFrame, most: int) -> DataFrame:
-    """a, b, more: plausible pairs of different components within buckets, at
-    most `most` for two components in a block of a bucket; more tells that there were others."""
+def links_across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that join different components within buckets. members: key,
+    cid, component, n, most, packed. The pairs with a bucket's hub, all those of
+    a bucket of two, are known already."""
+
+    def counter(shingles: list[np.ndarray]):
+        """(row, rows) -> sizes of the intersections."""
+        _, ids, seen = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+        shared = seen > 1
+        width = int(shared.sum())
+        if width * len(shingles) > MOST_BITS:
+            return lambda x, ys: np.array([len(np.intersect1d(shingles[x], shingles[y], assume_unique=True)) for y in ys])
+        place = np.cumsum(shared) - 1
+        bits = np.zeros((len(shingles), width), bool)
+        row = np.repeat(np.arange(len(shingles)), [len(s) for s in shingles])
+        bits[row[shared[ids]], place[ids[shared[ids]]]] = True
+        packed = np.packbits(bits, axis=1)
+        return lambda x, ys: np.bitwise_count(packed[ys] & packed[x]).sum(1, dtype=np.int64)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sketch = np.frombuffer(b"".join(rows["packed"]), np.uint8).reshape(len(rows), SIZE)
-        cid, comp, n, block = (rows[c].to_numpy() for c in ("cid", "component", "n", "block"))
+        cid, n, most, block = (rows[c].to_numpy() for c in ("cid", "n", "most", "block"))
+        _, comp = np.unique(rows["component"].to_numpy(), return_inverse=True)
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        right = np.flatnonzero(block == j)
-        found = []
+        right, common_, found = np.flatnonzero(block == j), None, []
         for x in np.flatnonzero(block == i):
-            ys = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
+            both = np.minimum(most[right], most[x])
+            ys = right[(comp[right] != comp[x]) & (100 * both >= PERCENT * (n[right] + n[x] - both))]
             if i == j:
-                ys = ys[cid[ys] > cid[x]]
+                ys = ys[ys > x]
+            if len(ys):
+                ys = ys[((sketch[ys] == sketch[x]).mean(1) - 1 / 256) / (1 - 1 / 256) >= PLAUSIBLE]
             if len(ys):
-                alike = ((sketch[ys] == sketch[x]).mean(1) - 1 / 256) / (1 - 1 / 256)
-                ys, alike = ys[alike >= PLAUSIBLE], alike[alike >= PLAUSIBLE]
-                found += zip(np.minimum(comp[x], comp[ys]), np.maximum(comp[x], comp[ys]), alike, np.full(len(ys), cid[x]), cid[ys], strict=True)
-        out = pd.DataFrame(found, columns=["c", "d", "alike", "a", "b"]).sort_values(["c", "d", "alike", "a", "b"], ascending=[True, True, False, True, True])
-        nth = out.groupby(["c", "d"]).cumcount()
-        kept = out[nth < most]
-        return pd.DataFrame({"a": kept["a"].astype("int64"), "b": kept["b"].astype("int64"), "more": len(kept) < len(out)})
-
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+                common_ = common_ or counter([np.asarray(s) for s in rows["shingles"]])
+                both = common_(x, ys)
+                for y in ys[100 * both >= PERCENT * (n[ys] + n[x] - both)]:
+                    if comp[y] != comp[x]:
+                        found.append((cid[x], cid[y]))
+                        comp[comp == comp[y]] = comp[x]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi and m > 2")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = members.join(sized.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(sets, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, more boolean")
+    return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -182,26 +220,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
     classes = common.written(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    keyed = classes.select("cid", "n", F.posexplode("bands").alias("band", "hash")).select("cid", "n", F.xxhash64("band", "hash").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = common.written(keyed.join(shared.select("key", "hub"), "key"), "buckets")
-    sets = common.written(full_sets(docs, classes.join(members.select("cid").distinct(), "cid")), "sets")
-    stars = members.filter(F.col("cid") != F.col("hub.cid")).filter(100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n")).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    keyed = classes.select("cid", F.posexplode("bands").alias("band", "hash")).select("cid", F.xxhash64("band", "hash").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    met = common.written(keyed.join(shared.select("key"), "key"), "buckets")
+    sets = common.written(full_sets(docs, classes.join(met.select("cid").distinct(), "cid")), "sets")
+    # classes that may have a link at all, the most central one of each bucket in its middle
+    able = common.written(sharable(sets).filter(100 * F.col("most") >= PERCENT * F.col("n")), "able")
+    members = common.written(met.join(able, "cid"), "members")
+    hub = F.min(F.struct((1 - F.col("most") / F.col("n")).alias("own"), "cid", "n", "most")).alias("hub")
+    met_hub = members.join(members.groupBy("key").agg(hub), "key").filter(F.col("cid") != F.col("hub.cid"))
+    stars = met_hub.filter(possible(F.col("n"), F.col("most"), F.col("hub.n"), F.col("hub.most"))).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
     links = common.written(confirmed(stars, sets), "links")
     labels = components(links)
 
-    most, again = FIRST_PAIRS, True
-    while again:
-        named = members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        left = named.join(several, "key").join(classes.select("cid", "n", "packed"), "cid")
-        pairs = common.written(across(left, most), "pairs")
-        new = common.written(confirmed(pairs.select("a", "b").distinct(), sets), "links")
-        again = not pairs.filter("more").isEmpty()
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
-        most *= GROWTH
+    named = members.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    new = common.written(links_across(named.join(classes.select("cid", "packed"), "cid"), sets), "links")
+    if not new.isEmpty():
+        labels = components(links.unionByName(new))
 
     named = classes.select("h1", "h2", "cid", "min_id").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
