@@ -228,3 +228,19 @@ def first_translation(sources: list[tuple[Column, Column, Column]], version: int
 def rate_profile(model: Column) -> Column:
     """Requests a minute by a model's name. The free model's 11, others' 30."""
     return F.when(F.contains(F.lower(F.coalesce(model, F.lit(""))), F.lit("agnes")), 11).otherwise(30)
+
+
+UNTRANSLATED = "（未翻译）"
+
+
+def filled_blocks(blocks: Column, got: Column, skipped: tuple[str, ...] = ("formula", "table")) -> Column:
+    """blocks (i, kind, text) as (i, kind, translation): what was got (i, text)
+    for a number, else a fixed placeholder; formulas and tables have none."""
+    found = lambda b: F.get(F.filter(got, lambda g: g["i"] == b["i"]), F.lit(0))["text"]
+    text = lambda b: F.when(~b["kind"].isin(*skipped), F.coalesce(F.nullif(found(b), F.lit("")), F.lit(UNTRANSLATED)))
+    return F.transform(blocks, lambda b: F.struct(b["i"].alias("i"), b["kind"].alias("kind"), text(b).alias("translation")))
+
+
+def fill_reason(filled: Column, got: Column) -> Column:
+    """parse if nothing was got, partial if something is missing, else empty."""
+    return F.when(F.size(got) == 0, "parse").when(F.exists(filled, lambda b: b["translation"] == UNTRANSLATED), "partial").otherwise("")

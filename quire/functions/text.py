@@ -286,3 +286,19 @@ def mathish(line: Column) -> Column:
         F.when((s == "") | (F.length(s) > 200) | (words >= 2), False).when(s.rlike(RELATION), F.length(s) <= 160).when(s.rlike(r"\(cid:|\[\?\]"), True)
         .when((letters <= 2) & (F.length(s) <= 12), ~prose).when(short & prose, False).otherwise(s.rlike(r"\d") | s.rlike(FRAGMENT) | short)
     )
+
+
+MARKER = r"⟦(?:(?:FORMULA|TABLE):[^⟧\n]*|G:\d+)⟧"
+
+
+def trimmed_tail(page: Column, most: int = 1500) -> Column:
+    """A page without page numbers at its end and without what follows its last
+    sentence end or marker, if that is `most` characters or less. Full stops
+    inside markers end no sentence, and a marker's end is a place to cut."""
+    bare = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?:(?:^|\n)[ \t\r]*\d{1,4}[ \t\r]*)+$", "")
+    text = F.regexp_replace(bare, r"\s+$", "")
+    last = F.element_at(F.split(text, MARKER, -1), -1)
+    head = F.left(text, F.length(text) - F.length(last))
+    kept = F.concat(head, F.regexp_extract(last, r"(?s)^(.*[.!?。！？])", 1))
+    cut = (kept != "") & (F.length(text) - F.length(kept) <= most)
+    return F.btrim(F.when(cut, kept).otherwise(text), F.lit(BLANK))

@@ -81,3 +81,37 @@ def newest(df: DataFrame, key: list[str], order: list[Column], most: int) -> Dat
     """The first `most` rows of each key; Spark keeps that many a task before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+
+
+def health(events: DataFrame, key: str, probe_every: float = 900.0, ttl: dict[str, float] | None = None, sticky: tuple[str, ...] = ()) -> DataFrame:
+    """key, at, event, degraded, kind, probe after each event of a model, in time.
+
+    Events: an error kind degrades, `recovered` ends that, `check` only looks. A
+    kind with a time to live ends by itself after it, at the next event. `probe`
+    tells that the model should be tried again: degraded, not of a sticky kind,
+    and probe_every since the last error or probe. State is four values a key.
+    """
+    lives = {"no_output": 60.0} if ttl is None else ttl
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current: Any = None
+        kind, until, probed = "", 0.0, 0.0
+        for b in batches:
+            out = []
+            for k, t, e in zip(b[key], b["at"], b["event"], strict=True):
+                if k != current:
+                    current, kind, until, probed = k, "", 0.0, 0.0
+                if kind and until and t >= until:
+                    kind, until, probed = "", 0.0, t
+                if e == "recovered":
+                    kind, until, probed = "", 0.0, t
+                elif e != "check":
+                    kind, until, probed = e, t + lives[e] if e in lives else 0.0, t
+                probe = bool(kind) and kind not in sticky and t - probed >= probe_every
+                if probe:
+                    probed = t
+                out.append((bool(kind), kind, probe))
+            yield b.assign(**{c: [o[i] for o in out] for i, c in enumerate(("degraded", "kind", "probe"))})
+
+    dealt = events.select(key, "at", "event").repartition(key).sortWithinPartitions(key, "at", "event")
+    return dealt.mapInPandas(run, f"{key} {dict(dealt.dtypes)[key]}, at double, event string, degraded boolean, kind string, probe boolean")

@@ -102,3 +102,22 @@ def first_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.get(F.array(F.lit("AGNES-2"), F.lit("other"), F.lit(None).cast("string")), (F.col("event_id") % 3).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", markup.rate_profile(model).alias("rpm"))
+
+
+@query("filled_blocks", "SELECT event_id, event_type || '|' || '（未翻译）' AS texts, 'partial' AS reason FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, '（未翻译）|（未翻译）', 'parse' FROM events WHERE event_id % 3 = 0")
+def filled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = lambda i, kind: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.lit("x").alias("text"))
+    blocks = F.array(block(0, "body"), block(1, "formula"), block(2, "heading"))
+    got = F.when(F.col("event_id") % 3 > 0, F.array(F.struct(F.lit(0).alias("i"), F.col("event_type").alias("text")))).otherwise(F.array().cast("array<struct<i:int,text:string>>"))
+    rows = table(spark, sf_dir, "events").withColumn("got", got).withColumn("b", markup.filled_blocks(blocks, F.col("got")))
+    texts = F.array_join(F.transform("b", lambda b: b["translation"]), "|")
+    return rows.select("event_id", texts.alias("texts"), markup.fill_reason(F.col("b"), F.col("got")).alias("reason"))
+
+
+@query("trimmed_pages", "SELECT event_id, ['One. Two ⟦TABLE:1.5,2⟧', 'Done.', 'no end at all', 'A! ⟦FORMULA:1.1,2.2⟧ more.'][1 + event_id % 4] AS text FROM events")
+def trimmed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.functions.text import trimmed_tail
+
+    pages = ("One. Two ⟦TABLE:1.5,2⟧ and so mag-\n 12 \n3", "Done. The rest of", "no end at all\n7", "A! ⟦FORMULA:1.1,2.2⟧ more. tail ⟦x")
+    page = F.get(F.array(*map(F.lit, pages)), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", trimmed_tail(page).alias("text"))

@@ -99,3 +99,10 @@ def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.when(size <= 1000, "whole").when(size <= 5000, "core").otherwise("rejected").alias("gate"))
+
+
+@query("model_health")
+def model_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as models, event types as their errors and recoveries."""
+    kind = F.when(F.col("event_type") == "click", "quota").when(F.col("event_type") == "purchase", "no_output").when(F.col("event_type") == "view", "recovered").otherwise("check")
+    return rates.health(timed(spark, sf_dir).select("user_id", "at", kind.alias("event")), "user_id")
