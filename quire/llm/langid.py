@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, CHAIN = 1 << 16, 64
 #: Words whose label scores a worker holds at once; the memory is then emptied.
-MOST_WORDS = 400_000
-ROWS = 500
+MOST_WORDS = 150_000
+ROWS = 200
 UNKNOWN = "und"
 
 
@@ -218,9 +218,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                labels, scores = labeler.label(b.column(b.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                labels, scores = labeler.label(b.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    given = docs.select(*keep, F.col("text").alias("_text"))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    given = docs.select(*keep, *[] if "text" in keep else ["text"])
+    place = given.columns.index("text")
+    schema = T.StructType([*given.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return given.mapInArrow(run, schema)

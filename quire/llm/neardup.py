@@ -45,7 +45,7 @@ SIZE = BANDS * ROWS
 PERCENT = 75
 #: Estimates below this can't belong to pairs of 0.75: over five standard deviations.
 PLAUSIBLE = 0.55
-BLOCK_ROWS, BLOCK_SHINGLES, MOST_BITS = 2048, 1_000_000, 200_000_000
+BLOCK_ROWS, BLOCK_SHINGLES, MOST_BITS = 1024, 500_000, 40_000_000
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -74,7 +74,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            for first, texts in batches(b.column(1).to_pylist()):
+            for first, texts in batches(b.column(1)):
                 h, bounds = shingle_sets(texts)
                 n = np.diff(bounds)
                 total = [np.concatenate((np.zeros(1, U), np.cumsum(mix(h ^ U(s)), dtype=U))) for s in (0x51, 0xB7E151628AED2A6B)]
@@ -98,7 +98,7 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
-            for first, texts in batches(b.column(3).to_pylist()):
+            for first, texts in batches(b.column(3)):
                 h, bounds = shingle_sets(texts)
                 total = np.concatenate((np.zeros(1, U), np.cumsum(mix(h ^ U(0x51)), dtype=U)))
                 own = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)

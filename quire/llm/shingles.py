@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WIDTH = 5
 U = np.uint64
@@ -18,7 +19,8 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[32, *range(9, 14)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BASE, STEPS = U(0x9E3779B97F4A7C15 | 1), [U(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-BATCH_BYTES = 4_000_000
+#: Arrays take about 50 bytes for each byte of a batch.
+BATCH_BYTES = 1_000_000
 _POWERS = np.cumprod(np.full(4096, BASE, U))
 
 
@@ -38,11 +40,11 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts in UTF-8) of a few MB each; a longer text stands alone."""
+def batches(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts in UTF-8) of about a MB each; a longer text stands alone."""
     first, out, size = 0, [], 0
     for i, t in enumerate(texts):
-        data = (t or "").encode()
+        data = (t.as_py() or "").encode()
         if out and size + len(data) > BATCH_BYTES:
             yield first, out
             first, out, size = i, [], 0
