@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,34 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, CHAIN = 1 << 16, 64
+U = np.uint64
+PRIME, SPREAD = U(0x100000001B3), U(0x9E3779B97F4A7C15)
 #: Words whose label scores a worker holds at once; the memory is then emptied.
 MOST_WORDS = 150_000
 ROWS = 200
 UNKNOWN = "und"
 
 
-def features(word: str, lexicon: frozenset[str]) -> list[int]:
-    held = f"<{word[:40]}>"
-    names = [f"p{held[:n]}" for n in (2, 3, 4)] + [f"s{held[-n:]}" for n in (2, 3, 4)]
-    names += [f"g{held[i : i + n]}" for n in (2, 3) for i in range(len(held) - n + 1)]
-    if word in lexicon:
-        names.append(f"w{word}")
-    return [zlib.crc32(x.encode()) % BUCKETS for x in dict.fromkeys(names)]
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature numbers, number of the word that each belongs to) of many words at once."""
+    held = [f"<{w[:40]}>" for w in words]
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    code = np.frombuffer("".join(held).encode("utf-32-le"), "<u4").astype(U)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = ends[owner] - np.arange(len(code))
+    known = [(zlib.crc32(w.encode()) % BUCKETS, i) for i, w in enumerate(words) if w in lexicon]
+    flat, of = [np.array([x[0] for x in known], np.int64)], [np.array([x[1] for x in known], np.int64)]
+    h = code
+    for n in (2, 3, 4):  # h holds a hash of the n characters from each place on
+        h = h[:-1] * PRIME + code[n - 1 :]
+        long = sizes >= n
+        grams = np.flatnonzero(left[: len(h)] >= n) if n < 4 else np.zeros(0, np.int64)
+        for role, at in enumerate(((ends - sizes)[long], ends[long] - n, grams)):
+            mixed = (h[at] ^ U(3 * n + role)) * SPREAD
+            flat.append(((mixed ^ mixed >> U(29)) * SPREAD >> U(48)).astype(np.int64))
+            of.append(owner[at])
+    return np.concatenate(flat), np.concatenate(of)
 
 
 @dataclass
@@ -106,7 +122,10 @@ def fit_texts(texts: list[tuple[str, str]], spans: int = 2, epochs: int = 4, rat
     model = Model(labels, np.zeros((BUCKETS, k)), np.eye(k), frozenset(w for w, c in counts.items() if c >= 3))
     if k < 2:
         return model
-    table = {w: np.array(features(w, model.lexicon)) for w in counts}
+    words = list(counts)
+    flat, of = features(words, model.lexicon)
+    order = np.argsort(of, kind="stable")
+    table = dict(zip(words, np.split(flat[order], np.cumsum(np.bincount(of))[:-1]), strict=True))
     square, square_t = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
     random = np.random.default_rng(11)
     for _ in range(epochs):
@@ -159,29 +178,30 @@ def fit(docs: DataFrame, per_label: int = 300, spans: int = 2) -> Model:
 
 
 class Labeler:
+    """Words are numbered as they come; their label scores are kept."""
+
     def __init__(self, model: Model):
-        self.model, self.ids, self.scores = model, {}, np.zeros((0, len(model.labels)))
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.scores, self.lettered = np.zeros((0, len(self.model.labels))), np.zeros(0, bool)
 
     def lookup(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of words in self.scores; words without a letter are left out."""
         if len(self.ids) > MOST_WORDS:
-            self.ids, self.scores = {}, self.scores[:0]
-        ids, fresh = self.ids, []
-        for words in texts:
-            for w in words:
-                if w not in ids:
-                    if any(map(str.isalpha, w)):
-                        ids[w] = len(self.scores) + len(fresh)
-                        fresh.append(w)
-                    else:
-                        ids[w] = -1
+            self.clear()
+        found = [np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)) for words in texts]
+        fresh = list(islice(reversed(self.ids), len(self.ids) - len(self.scores)))[::-1]
         if fresh:
-            rows = [features(w, self.model.lexicon) for w in fresh]
-            sizes = np.array([len(r) for r in rows])
-            new = np.add.reduceat(self.model.weights[np.concatenate(rows)], np.cumsum(sizes) - sizes)
-            self.scores = np.concatenate((self.scores, new))
-        found = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in texts]
-        return [x[x >= 0] for x in found]
+            flat, of = features(fresh, self.model.lexicon)
+            weights = self.model.weights[flat]
+            new = [np.bincount(of, weights[:, j], len(fresh)) for j in range(weights.shape[1])]
+            self.scores = np.concatenate((self.scores, np.stack(new, 1) if new else np.zeros((len(fresh), 0))))
+            self.lettered = np.concatenate((self.lettered, np.fromiter((any(map(str.isalpha, w)) for w in fresh), bool, len(fresh))))
+        return [x[self.lettered[x]] for x in found]
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         numbers = self.lookup([WORD.findall(t.lower()) if t else [] for t in texts])
