@@ -27,9 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each component; of repeated rows, one."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(COLUMNS)
-    return rows.dropDuplicates(["doc_id", "text"])
+    # a struct is never null, so null ids meet each other; rows already dealt by it need no second shuffle to find repeated ones
+    kept = neardup.near_duplicates(docs).filter("kept").select(F.struct("doc_id").alias("_kept")).distinct()
+    rows = docs.select(*COLUMNS, F.struct("doc_id").alias("_id"))
+    return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id", "text"]).select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
