@@ -14,8 +14,9 @@ from quire.llm import common, langid, neardup, packing, pii
 from quire.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose likeliest language has less than this share of its words goes.
-LEAST_SHARE = 0.4
+#: A document whose likeliest language has less than this share of its words goes. Short
+#: documents of a line and a key or a licence have shares of 0.39 and up.
+LEAST_SHARE = 0.3
 BUDGET = 2048
 
 
