@@ -244,3 +244,52 @@ def filled_blocks(blocks: Column, got: Column, skipped: tuple[str, ...] = ("form
 def fill_reason(filled: Column, got: Column) -> Column:
     """parse if nothing was got, partial if something is missing, else empty."""
     return F.when(F.size(got) == 0, "parse").when(F.exists(filled, lambda b: b["translation"] == UNTRANSLATED), "partial").otherwise("")
+
+
+#: LaTeX commands that tell formulas from other backslashes.
+COMMANDS = (
+    "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi rho sigma tau upsilon phi chi psi omega varphi vartheta "
+    "Gamma Delta Theta Lambda Xi Sigma Phi Psi Omega mathrm mathbf mathit mathcal mathbb mathsf boldsymbol text textbf textit operatorname "
+    "overline underline frac dfrac tfrac sqrt sum prod int oint lim log ln exp sin cos tan cot sec csc arcsin cdot cdots ldots times div "
+    "approx neq equiv leq geq ll gg subset subseteq supset supseteq cup cap in notin ni pm mp rightarrow leftarrow leftrightarrow Rightarrow "
+    "Leftarrow to infty partial nabla forall exists propto sim cong doteq left right big Big bigg Bigg quad qquad begin end circ degree prime hbar ell"
+).replace(" ", "|")
+#: Braces inside braces are followed to this depth.
+DEPTH = 8
+
+
+def unescaped_latex(c: Column) -> Column:
+    r"""A formula without needless escapes: `\/` before a command is a backslash,
+    else a slash; `\{` after _ or ^ opens a group, and then `\}` closes one."""
+    t = F.replace(F.regexp_replace(c, rf"\\/(?=(?:{COMMANDS})(?![A-Za-z]))", r"\\"), F.lit("\\/"), F.lit("/"))
+    t = F.regexp_replace(t, r"([_^])\\\{", "$1{")
+    return F.when(t.rlike(r"[_^]\{"), F.replace(t, F.lit("\\}"), F.lit("}"))).otherwise(t)
+
+
+def wrapped_latex(c: Column) -> Column:
+    """Known commands outside formulas between dollar signs, with the groups that follow them."""
+    group = r"\{[^{}]*+\}"
+    for _ in range(DEPTH - 1):
+        group = rf"\{{(?:[^{{}}]++|{group})*+\}}"
+    return F.regexp_replace(c, rf"\\(?:{COMMANDS})(?!\p{{L}})(?:[ \t]*(?:[_^][ \t]*)?{group})*", r"\$$0\$")
+
+
+def extracted_math(c: Column) -> Column:
+    """text with @@MATHn@@ in place of formulas, n by place from 0, and formulas
+    (tex, display); code stays. A formula in double dollar signs is a display if it
+    has several lines or an environment or is longer than 60 characters."""
+    pattern = r"```[\s\S]*?```|`[^`\n]+`|\$\$[\s\S]+?\$\$|(?<!\$)\$[^$\n]+?\$(?!\$)"
+    all_ = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    is_code = lambda m: F.startswith(m, F.lit("`"))
+    counts = F.aggregate(all_, F.array(F.lit(0)), lambda s, m: F.concat(s, F.array(F.element_at(s, -1) + F.when(is_code(m), 0).otherwise(1))))
+    shown = F.zip_with(all_, F.slice(counts, 1, F.size(all_)), lambda m, n: F.when(is_code(m), m).otherwise(F.concat(F.lit("@@MATH"), n.cast("string"), F.lit("@@"))))
+    text = F.array_join(F.zip_with(F.split(c, pattern, -1), shown, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
+    def formula(m: Column) -> Column:
+        double = F.startswith(m, F.lit("$$"))
+        tex = F.when(double, F.substring(m, F.lit(3), F.length(m) - 4)).otherwise(F.substring(m, F.lit(2), F.length(m) - 2))
+        bare = F.btrim(tex, F.lit(T.BLANK))
+        wide = F.contains(bare, F.lit("\n")) | bare.rlike(r"\\(?:begin|end)\s*\{[^}]+\}") | (F.length(bare) > 60)
+        return F.struct(tex.alias("tex"), (double & wide).alias("display"))
+
+    return F.struct(text.alias("text"), F.transform(F.filter(all_, lambda m: ~is_code(m)), formula).alias("formulas"))

@@ -302,3 +302,16 @@ def trimmed_tail(page: Column, most: int = 1500) -> Column:
     kept = F.concat(head, F.regexp_extract(last, r"(?s)^(.*[.!?。！？])", 1))
     cut = (kept != "") & (F.length(text) - F.length(kept) <= most)
     return F.btrim(F.when(cut, kept).otherwise(text), F.lit(BLANK))
+
+
+NUMBERED = r"^\(?\d{1,2}(?:\.\d{1,2})*\)?\.?\s+[A-Z(]|^\(?[IVXLC]{1,6}\)?\.?\s+[A-Z]"
+
+
+def heading_prefix(first: Column, second: Column) -> Column:
+    """How many of a block's first two lines are a section heading: 0, 1, or 2 if the second continues it."""
+    a, b = (F.btrim(F.coalesce(c, F.lit("")), F.lit(BLANK)) for c in (first, second))
+    words = lambda t: F.size(F.split(t, r"\s+"))
+    heading = a.rlike(NUMBERED) & (F.length(a) <= 85) & (words(a) <= 8) & ~a.rlike(r"[.,;:-]$|…| \. |\. \. \.|et al")
+    capitals = (F.upper(b) == b) & (F.lower(b) != b)
+    goes_on = b.rlike(r"^[\p{Lu}(\[]") & ~b.rlike(NUMBERED) & ~b.endswith("-") & ~capitals & (F.length(b) <= 70) & (words(b) <= 6)
+    return F.when(heading, F.when(goes_on, 2).otherwise(1)).otherwise(0)

@@ -193,3 +193,27 @@ def merged_fragments(boxes: DataFrame, by: list[str], gap: float = 5.0, fragile:
         return pd.DataFrame(rows, columns=page.columns).assign(i=range(len(rows)))
 
     return boxes.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in boxes.dtypes))
+
+
+def column_gap(words: DataFrame, by: list[str], width: float, height: float, y_split: float, bins: int = BINS) -> DataFrame:
+    """by, x_mid: the middle of the gutter below y_split that most bands agree on.
+
+    Words have x0, x1, top. A band votes if it has six words, a gap of two bins
+    in the middle 70 % of the width, and three words on each side of it. Three
+    votes make a gutter, with eight words of the page on each side; of equal
+    numbers of votes the one of the upper band counts.
+    """
+    lo, hi, high = int(bins * 0.15), int(bins * 0.85), max(8.0, height / 40)
+    banded = words.filter((F.col("top") >= y_split) & (F.col("top") < height)).withColumn("_band", F.floor((F.col("top") - y_split) / high).cast("int"))
+    key = [*by, "_band"]
+    ink = coverage(banded, key, width, bins).groupBy(*key).agg(F.sort_array(F.collect_list(F.when((F.col("ink") > 0.5) & F.col("bin").between(lo, hi - 1), F.col("bin")))).alias("_ink"))
+    edges = F.concat(F.array(F.lit(lo - 1)), F.col("_ink"), F.array(F.lit(hi)))
+    gaps = F.transform(F.slice("_edges", 2, bins + 2), lambda b, i: F.struct((b - F.get("_edges", i) - 1).alias("length"), (-F.get("_edges", i)).alias("before")))
+    found = ink.withColumn("_edges", edges).select(*key, F.array_max(gaps).alias("_g")).filter("_g.length >= 2")
+    found = found.select(*key, (1 - F.col("_g.before") + F.col("_g.length") / 2).alias("_mid"))
+    at = F.col("_mid") * width / bins
+    sides = banded.join(found, key).groupBy(*key, "_mid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x1") <= at).alias("left"), F.count_if(F.col("x0") >= at).alias("right"))
+    votes = sides.filter("n >= 6 and left >= 3 and right >= 3").groupBy(*by, F.bround("_mid").cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("votes"), F.min("_band").alias("first"))
+    top = votes.groupBy(*by).agg(F.max(F.struct("votes", (-F.col("first")).alias("first"), "_bin")).alias("_t")).filter("_t.votes >= 3").select(*by, (F.col("_t._bin") * width / bins).alias("x_mid"))
+    held = words.join(top, by).groupBy(*by, "x_mid").agg(F.count_if(F.col("x1") <= F.col("x_mid") + 1).alias("left"), F.count_if(F.col("x0") >= F.col("x_mid") - 1).alias("right"))
+    return held.filter("left >= 8 and right >= 8").select(*by, "x_mid")

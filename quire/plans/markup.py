@@ -121,3 +121,19 @@ def trimmed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ("One. Two ⟦TABLE:1.5,2⟧ and so mag-\n 12 \n3", "Done. The rest of", "no end at all\n7", "A! ⟦FORMULA:1.1,2.2⟧ more. tail ⟦x")
     page = F.get(F.array(*map(F.lit, pages)), (F.col("event_id") % 4).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", trimmed_tail(page).alias("text"))
+
+
+@query("latex_repairs", r"""SELECT event_id, 'x_{' || event_type || '} 3/cm \alpha' AS repaired, 'so $\alpha_{\mathrm{' || event_type || '}}$ and $\beta$ x \nope' AS wrapped FROM events""")
+def latex_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    given = F.concat(F.lit(r"x_\{"), kind, F.lit(r"\} 3\/cm \/alpha"))
+    bare = F.concat(F.lit(r"so \alpha_{\mathrm{"), kind, F.lit(r"}} and \beta x \nope"))
+    return table(spark, sf_dir, "events").select("event_id", markup.unescaped_latex(given).alias("repaired"), markup.wrapped_latex(bare).alias("wrapped"))
+
+
+@query("extracted_math", "SELECT event_id, 'a @@MATH0@@ `$no$` @@MATH1@@ ' || event_type || ' @@MATH2@@ $5' AS text, 'x:false|' || chr(10) || event_type || ' ' || chr(10) || 'z:true|y:false' AS formulas FROM events")
+def extracted_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    found = markup.extracted_math(F.concat(F.lit("a $x$ `$no$` $$\n"), kind, F.lit(" \nz$$ "), kind, F.lit(" $$y$$ $5")))
+    rows = table(spark, sf_dir, "events").select("event_id", found.alias("f"))
+    return rows.select("event_id", "f.text", F.array_join(F.transform("f.formulas", lambda m: F.concat_ws(":", m["tex"], m["display"].cast("string"))), "|").alias("formulas"))

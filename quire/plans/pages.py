@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import chunking, layout, sections
 from quire.plans.registry import query
 from quire.session import table
@@ -201,3 +202,28 @@ def merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = F.when(F.col("n") % 3 == 0, "start").otherwise("indent")
     rows = lines(spark, sf_dir).select("doc_id", F.col("n").alias("i"), F.lit("body").alias("kind"), (F.col("n") % 2).alias("col"), split.alias("split"), "x0", "top", "x1", "bottom", F.col("line").alias("text"))
     return layout.merged_fragments(rows, ["doc_id"])
+
+
+@query("column_gaps", """WITH w AS (SELECT l_suppkey AS page, x0, x0 + 20 + l_partkey % 10 AS x1, (l_orderkey % 40 * 20)::DOUBLE AS top FROM (SELECT *, (CASE WHEN l_partkey % 97 = 0 THEN 300 ELSE 40 + l_orderkey % 2 * 300 + l_linenumber * 25 END)::DOUBLE AS x0 FROM lineitem)),
+b AS (SELECT *, floor((top - 100) / 20)::INT AS band FROM w WHERE top >= 100 AND top < 800),
+c AS (SELECT page, band, bin FROM (SELECT page, band, x1 - x0 AS ink, unnest(generate_series(floor(x0 / 7e2 * 120)::INT, floor(x1 / 7e2 * 120)::INT)) AS bin FROM b) GROUP BY page, band, bin HAVING sum(ink) > 0.5),
+s AS (SELECT page, band, bin FROM c WHERE bin BETWEEN 18 AND 101 UNION SELECT page, band, unnest([17, 102]) FROM b),
+g AS (SELECT page, band, bin + 1 AS start, lead(bin) OVER (PARTITION BY page, band ORDER BY bin) - bin - 1 AS length FROM s),
+t AS (SELECT page, band, start + length / 2e0 AS m FROM g WHERE length >= 2 QUALIFY row_number() OVER (PARTITION BY page, band ORDER BY length DESC, start) = 1),
+v AS (SELECT page, band, round_even(m, 0)::INT AS bin FROM b JOIN t USING (page, band) GROUP BY page, band, m HAVING count(*) >= 6 AND count(*) FILTER (x1 <= m * 7e2 / 120) >= 3 AND count(*) FILTER (x0 >= m * 7e2 / 120) >= 3),
+k AS (SELECT page, bin, count(*) AS n, min(band) AS f FROM v GROUP BY page, bin QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, f) = 1)
+SELECT page, bin * 7e2 / 120 AS x_mid FROM k JOIN w USING (page) WHERE n >= 3 GROUP BY page, bin HAVING count(*) FILTER (x1 <= bin * 7e2 / 120 + 1) >= 8 AND count(*) FILTER (x0 >= bin * 7e2 / 120 - 1) >= 8""")
+def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as words of two columns, with some in the gutter; suppliers are pages."""
+    x0 = F.when(F.col("l_partkey") % 97 == 0, 300).otherwise(40 + F.col("l_orderkey") % 2 * 300 + F.col("l_linenumber") * 25).cast("double")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), x0.alias("x0"), (x0 + 20 + F.col("l_partkey") % 10).alias("x1"), (F.col("l_orderkey") % 40 * 20).cast("double").alias("top"))
+    return layout.column_gap(rows, ["page"], 700.0, 800.0, 100.0)
+
+
+@query("heading_prefixes", "SELECT event_id, CASE WHEN event_id % 6 > 2 THEN 0 WHEN event_id // 6 % 6 = 5 THEN 2 ELSE 1 END AS n FROM events")
+def heading_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = ("2.1 Device Model", "IV. Results", "3 Methods", "(2) a small one", "7. It ends here.", "plain")
+    second = ("and Fit", "The first of many composites reported by others", "ME", "4 Next", "Alloys-", "(continued)")
+    pick = lambda of, k: F.get(F.array(*map(F.lit, of)), k.cast("int"))
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", T.heading_prefix(pick(first, e % 6), pick(second, F.floor(e / 6) % 6)).alias("n"))
