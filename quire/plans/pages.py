@@ -204,7 +204,7 @@ def merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merged_fragments(rows, ["doc_id"])
 
 
-@query("column_gaps", """WITH w AS (SELECT l_suppkey AS page, x0, x0 + 20 + l_partkey % 10 AS x1, (l_orderkey % 40 * 20)::DOUBLE AS top FROM (SELECT *, (CASE WHEN l_partkey % 97 = 0 THEN 300 ELSE 40 + l_orderkey % 2 * 300 + l_linenumber * 25 END)::DOUBLE AS x0 FROM lineitem)),
+@query("column_gaps", """WITH w AS (SELECT l_suppkey AS page, x0, x0 + 20 + l_partkey % 10 AS x1, (l_orderkey // 2 % 40 * 20)::DOUBLE AS top FROM (SELECT *, (CASE WHEN l_partkey % 97 = 0 THEN 300 ELSE 40 + l_orderkey % 2 * 300 + l_linenumber * 25 END)::DOUBLE AS x0 FROM lineitem)),
 b AS (SELECT *, floor((top - 100) / 20)::INT AS band FROM w WHERE top >= 100 AND top < 800),
 c AS (SELECT page, band, bin FROM (SELECT page, band, x1 - x0 AS ink, unnest(generate_series(floor(x0 / 7e2 * 120)::INT, floor(x1 / 7e2 * 120)::INT)) AS bin FROM b) GROUP BY page, band, bin HAVING sum(ink) > 0.5),
 s AS (SELECT page, band, bin FROM c WHERE bin BETWEEN 18 AND 101 UNION SELECT page, band, unnest([17, 102]) FROM b),
@@ -216,7 +216,7 @@ SELECT page, bin * 7e2 / 120 AS x_mid FROM k JOIN w USING (page) WHERE n >= 3 GR
 def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as words of two columns, with some in the gutter; suppliers are pages."""
     x0 = F.when(F.col("l_partkey") % 97 == 0, 300).otherwise(40 + F.col("l_orderkey") % 2 * 300 + F.col("l_linenumber") * 25).cast("double")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), x0.alias("x0"), (x0 + 20 + F.col("l_partkey") % 10).alias("x1"), (F.col("l_orderkey") % 40 * 20).cast("double").alias("top"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), x0.alias("x0"), (x0 + 20 + F.col("l_partkey") % 10).alias("x1"), (F.floor(F.col("l_orderkey") / 2) % 40 * 20).cast("double").alias("top"))
     return layout.column_gap(rows, ["page"], 700.0, 800.0, 100.0)
 
 
