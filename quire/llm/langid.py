@@ -12,6 +12,10 @@ label, `spans` word spans of each). Words carry the label of their document;
 half of the sequences join spans of several documents, which is what
 transitions are learned from. A chain is at most CHAIN words long; a longer
 text is several chains.
+
+All letters of a text count. A run of more than LONGEST letters, such as a
+sentence of a script without spaces, is several words: pieces of about equal
+size, each with a place of its own in the chain and in the share.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS, CHAIN = 1 << 16, 64
+BUCKETS, CHAIN, LONGEST = 1 << 16, 64, 64
 U = np.uint64
 PRIME, SPREAD = U(0x100000001B3), U(0x9E3779B97F4A7C15)
 #: Words whose label scores a worker holds at once; the memory is then emptied.
@@ -39,9 +43,25 @@ ROWS = 200
 UNKNOWN = "und"
 
 
+def pieces(run: str) -> Iterator[str]:
+    """A run of letters in pieces of at most LONGEST letters and the two after them, so
+    that each n-gram lies in one; a hyphen stands where the run goes on."""
+    step = -(-len(run) // -(-len(run) // LONGEST))
+    for at in range(0, len(run), step):
+        end = at + step + 2
+        yield f"{'-' if at else ''}{run[at:end]}{'-' if at + step < len(run) else ''}"
+
+
+def words_of(text: str) -> list[str]:
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [p for w in found for p in (pieces(w) if len(w) > LONGEST else (w,))]
+
+
 def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, number of the word that each belongs to) of many words at once."""
-    held = [f"<{w[:40]}>" for w in words]
+    held = [f"<{w}>".replace("<-", "").replace("->", "") for w in words]
     sizes = np.fromiter(map(len, held), np.int64, len(held))
     code = np.frombuffer("".join(held).encode("utf-32-le"), "<u4").astype(U)
     ends = np.cumsum(sizes)
@@ -96,7 +116,7 @@ def sequences(texts: list[tuple[str, int]], spans: int, seed: int = 7) -> list[t
     random = np.random.default_rng(seed)
     cut = []
     for text, label in texts:
-        words = [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+        words = [w for w in words_of(text) if w.isalpha() or any(map(str.isalpha, w))]
         for _ in range(spans if words else 0):
             at = int(random.integers(0, max(1, len(words) - CHAIN // 2)))
             cut.append((words[at : at + CHAIN], label))
@@ -204,7 +224,7 @@ class Labeler:
         return [x[self.lettered[x]] for x in found]
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        numbers = self.lookup([WORD.findall(t.lower()) if t else [] for t in texts])
+        numbers = self.lookup([words_of(t) if t else [] for t in texts])
         k = len(self.model.labels)
         n_words = np.array([len(x) for x in numbers])
         if not k or not n_words.sum():

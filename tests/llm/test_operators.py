@@ -293,6 +293,20 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(odd(spark).filter("doc_id = 3"), one, ["doc_id"]).first()["lang_pred"] == "en"
 
 
+def test_language_of_long_runs():
+    """All letters of a run count: its language changes after 40, and its end is its own."""
+    en, de = "the and of that with".split(), "der die und nicht das".split()
+    labeler = langid.Labeler(langid.fit_texts([(" ".join(en), "en"), (" ".join(de), "de")] * 20))
+    labels, scores = labeler.label(["theandofthat" * 4 + "dernichtunddas" * 40, "dernichtunddas" * 4 + "theandofthat" * 40, "theandofthat" * 40])
+    assert labels == ["de", "en", "en"] and all(s > 0.8 for s in scores)
+    run = "".join(chr(97 + i * 7 % 26) + chr(0x4E00 + i) for i in range(150))
+    held = [p.strip("-") for p in langid.pieces(run)]
+    assert all(len(p) <= langid.LONGEST + 2 for p in held)
+    assert [p[i : i + 3] for p in held for i in range(len(p) - 2)] == [run[i : i + 3] for i in range(len(run) - 2)]
+    a, b = (langid.features([w], frozenset())[0].tolist() for w in ("x" * 45 + "lich", "x" * 45 + "ance"))
+    assert sorted(a) != sorted(b)
+
+
 # 8
 def test_records(spark):
     df = odd(spark)
