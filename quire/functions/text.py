@@ -128,7 +128,8 @@ def ordinals(question: Column) -> Column:
 
 def untranslated_runs(text: Column) -> Column:
     """Runs of eight Latin words or more, but for names, addresses and captions."""
-    runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z'-]*(?:[ \t]+[A-Za-z][A-Za-z'-]*){7,}"), F.lit(0))
+    # possessive, which finds the same runs: the engine would go a level deeper for each word
+    runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z'-]*(?:[ \t]+[A-Za-z][A-Za-z'-]*){7,}+"), F.lit(0))
     words = lambda r: F.split(r, r"[ \t]+")
     names = lambda r: F.forall(words(r), lambda w: w.rlike("^[A-Z]") | (F.length(w) <= 2))
     return F.filter(runs, lambda r: ~names(r) & ~r.rlike(r"(?i)https?|www|\bdoi\b|\bfig\b|\beq\b"))

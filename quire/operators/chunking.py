@@ -93,7 +93,11 @@ def joined(left: str, right: str, ratio: float = 0.72, most: int = 4, least: int
     leading paragraphs that resemble the last ones, else a common block at the seam."""
     ends = [p for p in re.split(r"\n\s*\n", left) if p.strip()][-most:]
     starts = [p for p in re.split(r"\n\s*\n", right) if p.strip()]
-    alike = lambda a, b: SequenceMatcher(None, a.strip(), b.strip(), autojunk=False).ratio() >= ratio
+
+    def alike(a: str, b: str) -> bool:
+        m = SequenceMatcher(None, a.strip(), b.strip(), autojunk=False)
+        return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio  # cheap upper bounds first
+
     for n in range(min(most, len(starts)), 0, -1):
         if n <= len(ends) and all(alike(a, b) for a, b in zip(ends[-n:], starts[:n], strict=True)):
             return "\n\n".join([left, *starts[n:]])

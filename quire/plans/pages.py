@@ -159,8 +159,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rejoined")
 def rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with overlaps put together again."""
-    made = chunking.chunked(table(spark, sf_dir, "documents").filter("lang = 'es'"), "doc_id", "text", 1500, 2500, 120)
-    return chunking.reassembled(made, "doc_id")
+    return chunking.reassembled(chunks(spark, sf_dir), "doc_id")
 
 
 @query("snapped_cuts", f"""WITH {LINES}, r AS (SELECT *, max(bottom) OVER (PARTITION BY doc_id ORDER BY top, bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),

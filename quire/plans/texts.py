@@ -95,7 +95,19 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, count(*) AS runs, sum(length(run))::BIGINT AS chars FROM r WHERE NOT regexp_matches(run, '(?i)https?|www|\\bdoi\\b|\\bfig\\b|\\beq\\b')
  AND NOT regexp_full_match(run, '(?:(?:[A-Z][A-Za-z''-]*|[A-Za-z''-]{1,2})(?:[ \\t]+|$))+') GROUP BY doc_id""")
 def untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = docs(spark, sf_dir).filter("lang = 'es'").select("doc_id", T.untranslated_runs(F.col("text")).alias("r")).filter(F.size("r") > 0)
+    return untranslated_in(docs(spark, sf_dir).filter("lang = 'es'"))
+
+
+@query("untranslated_whole", """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*(?:[ \\t]+[A-Za-z][A-Za-z''-]*){7,}')) AS run FROM documents)
+SELECT doc_id, count(*) AS runs, sum(length(run))::BIGINT AS chars FROM r WHERE NOT regexp_matches(run, '(?i)https?|www|\\bdoi\\b|\\bfig\\b|\\beq\\b')
+ AND NOT regexp_full_match(run, '(?:(?:[A-Z][A-Za-z''-]*|[A-Za-z''-]{1,2})(?:[ \\t]+|$))+') GROUP BY doc_id""")
+def untranslated_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """untranslated of all documents; the SQL of that one takes a language."""
+    return untranslated_in(docs(spark, sf_dir))
+
+
+def untranslated_in(d: DataFrame) -> DataFrame:
+    runs = d.select("doc_id", T.untranslated_runs(F.col("text")).alias("r")).filter(F.size("r") > 0)
     return runs.select("doc_id", F.size("r").cast("long").alias("runs"), F.aggregate("r", F.lit(0).cast("long"), lambda n, r: n + F.length(r)).alias("chars"))
 
 
