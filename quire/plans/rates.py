@@ -91,6 +91,18 @@ def weekly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grouped listing: fixed folders first, other groups by name, entries by title."""
     d = table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("ering")) & (F.col("n_chars") % 7 != 0))
+    return listed(d)
+
+
+@query("navigation_whole", """WITH d AS (SELECT *, coalesce(doc_id % 7 = 0, false) AS deleted FROM documents) SELECT source, doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 9 END AS rank FROM d WHERE NOT deleted AND contains(lower(text), 'ering')""")
+def navigation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """navigation over all documents, each with a mark of whether it is deleted; the SQL
+    of that one leaves documents out by their size, those of null size too."""
+    d = table(spark, sf_dir, "documents").withColumn("deleted", F.coalesce(F.col("doc_id") % 7 == 0, F.lit(False)))
+    return listed(d.filter(~F.col("deleted") & F.contains(F.lower("text"), F.lit("ering"))))
+
+
+def listed(d: DataFrame) -> DataFrame:
     rank = F.when(F.col("source") == "src0", 0).when(F.col("source") == "src1", 1).otherwise(9)
     return d.select("source", "doc_id", rank.alias("rank")).orderBy("rank", "source", "doc_id")
 

@@ -197,7 +197,16 @@ def unknown_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_budgets", """SELECT doc_id, least(greatest((n_chars * 1.6)::DOUBLE, 4000), 16000)::BIGINT AS low, n FROM (SELECT doc_id, n_chars, least(greatest(least(n_chars, 80000), 300), CASE lang WHEN 'en' THEN 2000 WHEN 'de' THEN 8000 ELSE 50000 END) AS n FROM documents WHERE n_chars % 5 = 0)""")
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).filter("n_chars % 5 = 0")
+    return budgets_of(docs(spark, sf_dir).filter("n_chars % 5 = 0"))
+
+
+@query("token_budgets_whole", """SELECT doc_id, least(greatest(floor(n_chars * 16 / 10e0), 4000), 16000)::BIGINT AS low, least(greatest(least(n_chars, 80000), 300), CASE lang WHEN 'en' THEN 2000 WHEN 'de' THEN 8000 ELSE 50000 END)::BIGINT AS n FROM documents""")
+def token_budgets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_budgets of all documents; the SQL of that one takes a part of them."""
+    return budgets_of(docs(spark, sf_dir))
+
+
+def budgets_of(d: DataFrame) -> DataFrame:
     mode = F.when(F.col("lang") == "en", "term").when(F.col("lang") == "de", "mid").otherwise("full")
     return d.select("doc_id", T.token_budget(F.col("n_chars"), F.lit(False)).cast("long").alias("low"), T.scope_budget(F.col("n_chars"), mode).cast("long").alias("n"))
 
