@@ -47,6 +47,30 @@ def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.longest_gap(bins(spark, sf_dir).filter("bin % 7 < 4"), ["doc_id"])
 
 
+#: Every line counts; those of odd n stand in a right column.
+RIGHT = 330
+COLUMNS_COVER = f"""{LINES}, k AS (SELECT doc_id, x1 - x0 AS w, x0 + n % 2 * {RIGHT} AS x0, x1 + n % 2 * {RIGHT} AS x1 FROM l),
+b AS (SELECT doc_id, w, unnest(generate_series(least(greatest(floor(x0 / 700 * 120), 0), 119)::INT, least(greatest(floor(x1 / 700 * 120), 0), 119)::INT)) AS bin FROM k), c AS (SELECT doc_id, bin, sum(w) AS ink FROM b GROUP BY 1, 2)"""
+
+
+def column_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    right = F.col("n") % 2 * RIGHT
+    return layout.coverage(lines(spark, sf_dir).withColumn("x0", F.col("x0") + right).withColumn("x1", F.col("x1") + right), ["doc_id"], 700.0)
+
+
+@query("ink_coverage_whole", f"WITH {COLUMNS_COVER} SELECT doc_id, bin, ink FROM c")
+def ink_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ink_coverage of all lines, in two columns; the SQL of that one takes a part of them."""
+    return column_bins(spark, sf_dir)
+
+
+@query("gutters_whole", f"""WITH {COLUMNS_COVER}, g AS (SELECT doc_id, bin, lead(bin) OVER (PARTITION BY doc_id ORDER BY bin) - bin - 1 AS length FROM c WHERE ink > 0)
+SELECT doc_id, bin + 1 AS start, length FROM g WHERE length > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, bin) = 1""")
+def gutters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gutters of all lines and bins: gaps come from where lines stand, none is made by removing ink."""
+    return layout.longest_gap(column_bins(spark, sf_dir), ["doc_id"])
+
+
 BLOCKS = f"""{LINES}, p AS (SELECT *, last_value(CASE WHEN length(line) >= 4 THEN bottom END IGNORE NULLS) OVER w AS pb, last_value(CASE WHEN length(line) >= 4 THEN x0 END IGNORE NULLS) OVER w AS px
  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY top, x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT *, sum((pb IS NULL OR (length(line) >= 4 AND (x0 - px BETWEEN 3 AND 40 OR top - pb >= 5)))::INT) OVER (PARTITION BY doc_id ORDER BY top, x0 ROWS UNBOUNDED PRECEDING)::BIGINT AS block FROM p)"""

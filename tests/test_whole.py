@@ -59,3 +59,35 @@ def test_navigation(spark):
     assert any(r["n_chars"] % 7 == 0 for r in given("documents") if r["doc_id"] in want)
     got = result(spark, "navigation_whole")
     assert {r["doc_id"] for r in got} == want and [(r["rank"], r["source"], r["doc_id"]) for r in got] == sorted((r["rank"], r["source"], r["doc_id"]) for r in got)
+
+
+def placed(r):
+    """(n, x0, x1) of the lines of a document in two columns."""
+    for n, line in enumerate(r["text"].split("\n")):
+        x = 50 + len(line) % 4 * 6 + n % 2 * 330
+        yield n, x, x + min(len(line), 500)
+
+
+def covers():
+    out = {}
+    for r in given("documents"):
+        ink = out.setdefault(r["doc_id"], {})
+        for _, x0, x1 in placed(r):
+            for b in range(min(int(x0 / 700 * 120), 119), min(int(x1 / 700 * 120), 119) + 1):
+                ink[b] = ink.get(b, 0) + x1 - x0
+    return out
+
+
+def test_ink_coverage(spark):
+    want = {(d, b): w for d, ink in covers().items() for b, w in ink.items()}
+    assert {(r["doc_id"], r["bin"]): r["ink"] for r in result(spark, "ink_coverage_whole")} == want
+
+
+def test_gutters(spark):
+    want = {}
+    for d, ink in covers().items():
+        bins = sorted(b for b, w in ink.items() if w > 0)
+        gaps = [(b - a - 1, -a) for a, b in zip(bins, bins[1:], strict=False) if b - a > 1]
+        if gaps:
+            want[d] = (1 - max(gaps)[1], max(gaps)[0])
+    assert want and {r["doc_id"]: (r["start"], r["length"]) for r in result(spark, "gutters_whole")} == want
