@@ -201,6 +201,15 @@ def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", *[F.get("b", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
+@query("clamped_boxes_whole", f"WITH {LINES} SELECT doc_id, n, greatest(x0 - 2, 0) AS x0, greatest(top - n // 7 * 84 - 2, 0) AS y0, least(x1 + 2, 300) AS x1, least(bottom - n // 7 * 84 + 2, 90) AS y1 FROM l")
+def clamped_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clamped_boxes of all lines, seven to a page; the SQL of that one takes the first page."""
+    above = F.floor(F.col("n") / 7) * 84
+    box = layout.clamped(F.array("x0", F.col("top") - above, "x1", F.col("bottom") - above), 300, 90, 2)
+    rows = lines(spark, sf_dir).select("doc_id", "n", box.alias("b"))
+    return rows.select("doc_id", "n", *[F.get("b", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 @query("mathish_lines", "SELECT event_id, [false, true, true, false, true, false, true][1 + event_id % 7] AS mathish FROM events")
 def mathish_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.functions.text import mathish

@@ -91,3 +91,15 @@ def test_gutters(spark):
         if gaps:
             want[d] = (1 - max(gaps)[1], max(gaps)[0])
     assert want and {r["doc_id"]: (r["start"], r["length"]) for r in result(spark, "gutters_whole")} == want
+
+
+def test_clamped_boxes(spark):
+    """A box of each line, on its page of seven lines."""
+    want = {}
+    for r in given("documents"):
+        for n, line in enumerate(r["text"].split("\n")):
+            k = len(line)
+            x, top = 50 + k % 4 * 6, 12 * (n % 7) + k % 3
+            want[r["doc_id"], n] = (x - 2, max(top - 2, 0), min(x + min(k, 500) + 2, 300), min(top + 9 + r["doc_id"] % 5 + 2, 90))
+    assert max(n for _, n in want) > 7
+    assert {(r["doc_id"], r["n"]): tuple(r[c] for c in ("x0", "y0", "x1", "y1")) for r in result(spark, "clamped_boxes_whole")} == want
