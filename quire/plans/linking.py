@@ -34,6 +34,23 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.title_matches(*sides(spark, sf_dir), linking.LENIENT)
 
 
+def whole_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every page as a title and as a file."""
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.col("page_id").alias("id"), F.regexp_extract("url", "https?://[^.]*(.*)", 1).alias("title")), p.select(F.col("page_id").alias("file"), F.regexp_extract("url", r"https?://([^?]*)", 1).alias("stem"))
+
+
+@query("title_links_whole")
+def title_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """title_links of all pages on both sides; the SQL of that one halves each."""
+    return linking.title_matches(*whole_sides(spark, sf_dir), linking.STRICT)
+
+
+@query("title_search_whole")
+def title_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.title_matches(*whole_sides(spark, sf_dir), linking.LENIENT)
+
+
 @query("note_files", "SELECT o_orderkey AS path, 'lib/' || o_custkey || '.pdf' AS file FROM orders")
 def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as notes that name their customer's file, by path, name or stem."""

@@ -103,3 +103,36 @@ def test_clamped_boxes(spark):
             want[r["doc_id"], n] = (x - 2, max(top - 2, 0), min(x + min(k, 500) + 2, 300), min(top + 9 + r["doc_id"] % 5 + 2, 90))
     assert max(n for _, n in want) > 7
     assert {(r["doc_id"], r["n"]): tuple(r[c] for c in ("x0", "y0", "x1", "y1")) for r in result(spark, "clamped_boxes_whole")} == want
+
+
+def norm(t):
+    return re.sub(r"[^a-zA-Z0-9一-龥]", "", t or "").lower()
+
+
+def best(titles, files, two, three, one, least):
+    """The best file of each title, of all pairs."""
+    out = {}
+    for i, title in titles:
+        t, words = norm(title), [w for w in map(norm, re.split(r"\W+", title, flags=re.A)) if len(w) >= 3][:8]
+        scores = []
+        for file, stem in files:
+            s = norm(stem)
+            if not t or not s:
+                continue
+            hits = sum(w in s for w in words)
+            score = 70 if t[:18] in s or s in t else 45 if t[:10] in s else 0
+            score += three + hits * 10 if hits >= 3 else two if hits == 2 else one if hits == 1 and len(words) <= 2 else 0
+            scores += [(-score, file)] if score >= least else []
+        if scores:
+            out[i] = (min(scores)[1], -min(scores)[0])
+    return out
+
+
+def test_titles_of_all_pages(spark):
+    rows = [(r["page_id"], r["url"]) for r in given("pages")]
+    part = lambda p, u: m.group(1) if (m := re.search(p, u)) else ""
+    sides = [(i, part(r"https?://[^.]*(.*)", u)) for i, u in rows], [(i, part(r"https?://([^?]*)", u)) for i, u in rows]
+    for name, weights in (("title_links_whole", (20, 25, 0, 70)), ("title_search_whole", (45, 25, 35, 45))):
+        want = best(*sides, *weights)
+        assert {i % 2 for i in want} == {0, 1} and {f % 2 for f, _ in want.values()} == {0, 1}
+        assert {r["id"]: (r["file"], r["score"]) for r in result(spark, name)} == want
