@@ -24,6 +24,8 @@ class Weights:
 #: Links made without a user, and searches by a user.
 STRICT, LENIENT = Weights(70, 20, 25, 0), Weights(45, 45, 25, 35)
 GRAM = 10
+#: Longer pieces and stems are looked up by their first GRAM characters.
+LONG_PIECE, LONG_STEM = 80, 300
 
 
 def note_files(notes: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
@@ -50,21 +52,23 @@ def title_matches(titles: DataFrame, files: DataFrame, w: Weights) -> DataFrame:
     the stem is in the title, else 45 for the first 10; then points for title
     words in the stem. Whatever scores shares ten characters in a row, or a
     title word, or a whole stem shorter than ten with the other side; pairs are
-    found by those, not by a cross join.
+    found by those, not by a cross join. A word or stem that is too long to be
+    looked up whole is by its first ten characters; the scores are exact.
     """
     t = titles.select("id", T.normal_title(F.col("title")).alias("t"), T.title_words(F.col("title")).alias("words")).filter("t <> ''")
     s = files.select("file", T.normal_title(F.col("stem")).alias("s")).filter("s <> ''")
     # pieces of a title that can stand in a stem, and pieces of stems of the same lengths
-    pieces = F.array_distinct(F.concat(F.array(F.left("t", F.lit(GRAM))), "words"))
+    pieces = F.array_distinct(F.concat(F.array(F.left("t", F.lit(GRAM))), F.transform("words", lambda x: F.when(F.length(x) > LONG_PIECE, F.left(x, F.lit(GRAM))).otherwise(x))))
     asked = t.select("id", F.explode(pieces).alias("piece"))
     sizes = asked.select(F.length("piece").alias("n")).distinct()
     grams = lambda d, c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - F.col("n") + 1, F.lit(1))), lambda i: F.substring(c, i, F.col("n")))))
-    held = s.join(F.broadcast(sizes.filter("n <= 80")), F.length("s") >= F.col("n")).select("file", grams(s, F.col("s")).alias("piece"))
+    held = s.join(F.broadcast(sizes), F.length("s") >= F.col("n")).select("file", grams(s, F.col("s")).alias("piece"))
     pairs = asked.join(held, "piece").select("id", "file")
     # whole stems inside a title
     stems = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - F.col("n") + 1, F.lit(1))), lambda i: F.substring("t", i, F.col("n")))))
-    lengths = s.select(F.length("s").alias("n")).distinct().filter("n <= 300")
-    whole = t.join(F.broadcast(lengths), F.length("t") >= F.col("n")).select("id", stems.alias("s")).join(s, "s").select("id", "file")
+    keyed = s.select("file", F.when(F.length("s") > LONG_STEM, F.left("s", F.lit(GRAM))).otherwise(F.col("s")).alias("k"))
+    lengths = keyed.select(F.length("k").alias("n")).distinct()
+    whole = t.join(F.broadcast(lengths), F.length("t") >= F.col("n")).select("id", stems.alias("k")).join(keyed, "k").select("id", "file")
     both = pairs.unionByName(whole).distinct().join(t, "id").join(s, "file")
     base = F.when(F.contains("s", F.left("t", F.lit(18))) | F.contains("t", F.col("s")), 70).when(F.contains("s", F.left("t", F.lit(GRAM))), 45).otherwise(0)
     hits = F.size(F.filter("words", lambda x: F.contains(F.col("s"), x)))
