@@ -14,16 +14,20 @@ from quire.llm import common, langid, neardup, packing, pii
 from quire.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose likeliest language has less than this share of its words goes. Short
-#: documents of a line and a key or a licence have shares of 0.39 and up.
-LEAST_SHARE = 0.3
 BUDGET = 2048
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; a null text or one without letters has none."""
-    found = langid.predict(docs, langid.fit(docs), COLUMNS)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
+    """Keeps documents in learned languages, also in several of them.
+
+    A null text or one without letters has none. Others need the evidence that
+    is calibrated on the training sample (`langid.calibrate`): the share of
+    character features known from training must be nearer to that of training
+    documents than to that of random letters.
+    """
+    model = langid.fit(docs)
+    found = langid.predict(docs, model, COLUMNS, evidence=True)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("evidence") >= model.least)).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,12 @@ text is several chains.
 All letters of a text count. A run of more than LONGEST letters, such as a
 sentence of a script without spaces, is several words: pieces of about equal
 size, each with a place of its own in the chain and in the share.
+
+Whether a text is in a learned language at all is not told by shares, which sum
+to one in any case, but by its evidence: the share of its words' 3-grams and
+affixes of three and four characters that occur in two training documents at least. `Model.least` lies halfway between the
+evidence of random letters and what all but one in a hundred training documents
+have from the others; neither depends on the number of labels.
 """
 
 from __future__ import annotations
@@ -59,8 +65,9 @@ def words_of(text: str) -> list[str]:
     return [p for w in found for p in (pieces(w) if len(w) > LONGEST else (w,))]
 
 
-def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature numbers, number of the word that each belongs to) of many words at once."""
+def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(feature numbers, number of the word that each belongs to) of many words at once,
+    and how many of those come before the ones of three characters and more."""
     held = [f"<{w}>".replace("<-", "").replace("->", "") for w in words]
     sizes = np.fromiter(map(len, held), np.int64, len(held))
     code = np.frombuffer("".join(held).encode("utf-32-le"), "<u4").astype(U)
@@ -78,7 +85,11 @@ def features(words: list[str], lexicon: frozenset[str]) -> tuple[np.ndarray, np.
             mixed = (h[at] ^ U(3 * n + role)) * SPREAD
             flat.append(((mixed ^ mixed >> U(29)) * SPREAD >> U(48)).astype(np.int64))
             of.append(owner[at])
-    return np.concatenate(flat), np.concatenate(of)
+    return np.concatenate(flat), np.concatenate(of), sum(map(len, flat[:4]))
+
+
+def by_word(flat: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.split(flat[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=n))[:-1])
 
 
 @dataclass
@@ -87,6 +98,8 @@ class Model:
     weights: np.ndarray  # BUCKETS x labels
     transitions: np.ndarray
     lexicon: frozenset[str]
+    known: np.ndarray  # of each bucket, whether two training documents have it
+    least: float = 0.0  # evidence of a text in a learned language
 
 
 def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,19 +146,37 @@ def sequences(texts: list[tuple[str, int]], spans: int, seed: int = 7) -> list[t
     return plain + joined
 
 
+def calibrate(model: Model, documents: list[list[np.ndarray]], words: list[str]) -> None:
+    """Sets what is known, and the least evidence, from the features of each training document's words."""
+    met = np.zeros(BUCKETS, np.int64)
+    held = [np.concatenate(d) for d in documents]
+    for d in held:
+        met[np.unique(d)] += 1
+    model.known = met >= 2
+    clean = np.quantile([(met[d] >= 3).mean() for d in held], 0.01)  # known without the document itself
+    random = np.random.default_rng(5)
+    letters = np.array(sorted(set("".join(words)) - {"-"}))
+    made = ["".join(random.choice(letters, len(w))) for w in random.choice(np.array(words, object), 4096)]
+    flat, _, skip = features(made, model.lexicon)
+    model.least = float(clean + model.known[flat[skip:]].mean()) / 2
+
+
 def fit_texts(texts: list[tuple[str, str]], spans: int = 2, epochs: int = 4, rate: float = 0.2, decay: float = 1e-5) -> Model:
     """A model from (text, label) rows by gradient steps on the conditional likelihood."""
     labels = sorted({label for _, label in texts})
     k = len(labels)
     made = sequences([(t, labels.index(label)) for t, label in texts], spans)
     counts = Counter(w for words, _ in made for w in words)
-    model = Model(labels, np.zeros((BUCKETS, k)), np.eye(k), frozenset(w for w, c in counts.items() if c >= 3))
-    if k < 2:
+    model = Model(labels, np.zeros((BUCKETS, k)), np.eye(k), frozenset(w for w, c in counts.items() if c >= 3), np.zeros(BUCKETS, bool))
+    if not counts:
         return model
     words = list(counts)
-    flat, of = features(words, model.lexicon)
-    order = np.argsort(of, kind="stable")
-    table = dict(zip(words, np.split(flat[order], np.cumsum(np.bincount(of))[:-1]), strict=True))
+    flat, of, skip = features(words, model.lexicon)
+    table = dict(zip(words, by_word(flat, of, len(words)), strict=True))
+    grams = dict(zip(words, by_word(flat[skip:], of[skip:], len(words)), strict=True))
+    calibrate(model, [[grams[w] for words, _ in made[at : at + spans] for w in words] for at in range(0, len(made) // 2, spans)], words)
+    if k < 2:
+        return model
     square, square_t = np.full((BUCKETS, k), 1e-6), np.full((k, k), 1e-6)
     random = np.random.default_rng(11)
     for _ in range(epochs):
@@ -208,6 +239,7 @@ class Labeler:
         self.ids: dict[str, int] = defaultdict()
         self.ids.default_factory = self.ids.__len__
         self.scores, self.lettered = np.zeros((0, len(self.model.labels))), np.zeros(0, bool)
+        self.sizes = np.zeros((0, 2))  # of a word, longer features that are known, and all
 
     def lookup(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of words in self.scores; words without a letter are left out."""
@@ -216,19 +248,24 @@ class Labeler:
         found = [np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)) for words in texts]
         fresh = list(islice(reversed(self.ids), len(self.ids) - len(self.scores)))[::-1]
         if fresh:
-            flat, of = features(fresh, self.model.lexicon)
+            flat, of, skip = features(fresh, self.model.lexicon)
             weights = self.model.weights[flat]
             new = [np.bincount(of, weights[:, j], len(fresh)) for j in range(weights.shape[1])]
             self.scores = np.concatenate((self.scores, np.stack(new, 1) if new else np.zeros((len(fresh), 0))))
+            self.sizes = np.concatenate((self.sizes, np.stack((np.bincount(of[skip:], self.model.known[flat[skip:]], len(fresh)), np.bincount(of[skip:], minlength=len(fresh))), 1)))
             self.lettered = np.concatenate((self.lettered, np.fromiter((any(map(str.isalpha, w)) for w in fresh), bool, len(fresh))))
         return [x[self.lettered[x]] for x in found]
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.weigh(texts)[:2]
+
+    def weigh(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Label, score and evidence of each text."""
         numbers = self.lookup([words_of(t) if t else [] for t in texts])
         k = len(self.model.labels)
         n_words = np.array([len(x) for x in numbers])
         if not k or not n_words.sum():
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         chains = -(-n_words // CHAIN)
         owner = np.repeat(np.arange(len(texts)), chains)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(chains) - chains, chains)
@@ -241,16 +278,19 @@ class Labeler:
         share /= np.maximum(n_words, 1)[:, None]
         top = share.argmax(1)
         found = n_words > 0
-        return [self.model.labels[i] if ok else UNKNOWN for i, ok in zip(top, found, strict=True)], [min(1.0, float(share[r, i])) if ok else 0.0 for r, (i, ok) in enumerate(zip(top, found, strict=True))]
+        sizes = np.array([self.sizes[x].sum(0) for x in numbers])
+        evidence = (sizes[:, 0] / np.maximum(sizes[:, 1], 1)).tolist()
+        return [self.model.labels[i] if ok else UNKNOWN for i, ok in zip(top, found, strict=True)], [min(1.0, float(share[r, i])) if ok else 0.0 for r, (i, ok) in enumerate(zip(top, found, strict=True))], evidence
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The `keep` columns with lang_pred and score for every row, from the text alone.
+def predict(docs: DataFrame, model: Model, keep: list[str], evidence: bool = False) -> DataFrame:
+    """The `keep` columns with lang_pred and score, and evidence if asked for, of every row, from the text alone.
 
     A text that is null or has no letter is `und` with score 0, as is every
     text if nothing was learned. Equal texts get equal results; an empty table
     gives no rows. Very long texts are many chains, and take memory of their size.
     """
+    added = ["lang_pred", "score", *["evidence"] * evidence]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS rows and the lexicon of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,10 +298,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                labels, scores = labeler.label(b.column(place).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                labels, *numbers = labeler.weigh(b.column(place).to_pylist())
+                made = [pa.array(labels, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], [*keep, *added])
 
     given = docs.select(*keep, *[] if "text" in keep else ["text"])
     place = given.columns.index("text")
-    schema = T.StructType([*given.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*given.schema.fields[: len(keep)], *[T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in added]])
     return given.mapInArrow(run, schema)

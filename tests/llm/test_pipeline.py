@@ -37,6 +37,18 @@ def test_language(stages):
     assert {r[1] for r in gone} <= {None, "12 34 !"} and len(gone) == 3 and len(kept) == len(given) - 3
 
 
+def test_language_without_unlearned(spark):
+    """Random letters and texts in unlearned languages go; short clean texts stay, whatever their ids."""
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    random = np.random.default_rng(3)
+    gone = [" ".join("".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)) for n in (5, 40)]
+    gone += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "Все люди рождаются свободными и равными", "人人生而自由在尊严和权利上一律平等"]
+    stay = ["the same of that and with the words in it", "der die und nicht das", "the of and in der die und nicht la les des et el los de que"]
+    added = spark.createDataFrame([(20000 + i, t, None, "x", len(t)) for i, t in enumerate(gone + stay)], given.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, given.unionByName(added), SMALL).filter("source = 'x'").collect()}
+    assert kept == {20000 + len(gone) + i for i in range(len(stay))}
+
+
 def test_near_duplicates(stages):
     given = [(r[0], r[1]) for r in rows(stages[1])]
     want = {doc for (doc, _, _, kept), _ in brute_near(given).items() if kept}
