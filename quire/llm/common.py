@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Folders made where none is named, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, where that is
-    unset (tests on one machine), a new local one."""
+    unset and everything runs on this machine (tests), a new one in its
+    temporary folder. A cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
+        found = _own[context.applicationId]
     return found.rstrip("/")
 
 

@@ -1,38 +1,54 @@
 """Exact top-k search by integer inner product on an impact-ordered index.
 
-The index of a block of vectors holds its postings (component, row, value) in
-segments of one quantised impact each, the impact of a posting being the
-magnitude of its value. A query adds up segments from the highest impact down,
-score at a time. What may still come is bounded for each row by the
-Cauchy-Schwarz inequality on the norms of the parts not yet added, which the
-index holds, and by the greatest impact left. A query stops as soon as these
-bounds prove that few rows can be among its best; exactly those are then scored
-in full. Without such a proof it goes on through the last segment, after which
-every score is complete, so results never depend on how well bounds work.
-
-Every query meets every block: blocks of queries are joined to blocks of the
-index by block number, so a task holds one block of either kind at a time, and
-a block returns its k best per query only.
+Components are quantised into impacts: the first posting segment of a block
+holds each component rounded to a multiple of a large power of two, the next
+the rest rounded to a multiple of a quarter of that, down to ones, after which
+nothing is left. So segments hold digits of descending impact, postings of the
+digit 0 are not scored, and the sum of all segments is the vector.
+
+A query adds up segments from the highest impact down, score at a time. What
+the segments not yet added can change is bounded for each row by the
+Cauchy-Schwarz inequality on the norm of its rest, which the index holds. A
+query stops as soon as these bounds prove that few rows can be among its best;
+exactly those are scored in full, from their digits, in whole numbers. Without
+such a proof it goes on through the last segment, after which every score is
+complete, so results never depend on how well bounds work.
+
+Rows are dealt evenly over blocks without regard to their values, so the first
+block is a fair sample. Every query meets it first, and its k-th best score
+there is a proven lower bound that it carries to all other blocks: a block none
+of whose vectors is long enough to reach the bounds of a group of queries isn't
+sent to it, rows whose bound is lower are never rescored, and most queries stop
+before the last segment. Blocks of queries are joined to
+blocks of the index by block number, so a task holds one block of either kind
+at a time, and a block returns its k best per query at most.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm import common
+
 INDEX_ROWS, QUERY_ROWS = 4096, 512
-#: Bounds between quantised impacts, as fractions of a block's greatest magnitude.
-LEVELS = (0.5, 0.3, 0.18, 0.1, 0.0)
+#: Each segment's impact is this part of the one before.
+FINER = 4
 #: Possible members a query may keep for rescoring, as a fraction of the block's rows.
-POSSIBLE = 0.02
-EXACT = float(2**53)
+POSSIBLE = 1 / 16
+#: A segment of a smaller share of digits other than 0 is kept as postings by component.
+SPARSE = 1 / 16
+#: Vectors of at least this norm could have scores beyond 64 bits.
+MOST_NORM = 2.0**31
+SEGMENT = pa.struct([("step", pa.int64()), ("rows", pa.binary()), ("parts", pa.binary()), ("digits", pa.binary()), ("rest", pa.binary())])
+ARROW_INDEX = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("named", pa.binary()), ("longest", pa.float64()), ("segments", pa.list_(SEGMENT))])
+INDEX = "block int, n int, width int, ids binary, named binary, longest double, segments array<struct<step:long,rows:binary,parts:binary,digits:binary,rest:binary>>"
 
 
 def matrix(values: list[bytes]) -> np.ndarray:
@@ -45,79 +61,145 @@ def matrix(values: list[bytes]) -> np.ndarray:
 
 
 def build(ids: list, values: np.ndarray) -> dict:
-    """The impact-ordered index of a block."""
-    top = float(np.abs(values.astype(np.float64)).max(initial=0.0))
-    impact = np.abs(values.astype(np.float64))
-    segments, left = [], impact.copy()
-    upper = np.inf
-    for level in LEVELS:
-        lower = level * top
-        here = (impact >= lower) & (impact < upper) & (impact > 0) if level else (impact < upper) & (impact > 0)
-        rows, parts = np.nonzero(here)
-        left[here] = 0
-        segments.append((rows.astype(np.int32), parts.astype(np.int16 if values.shape[1] < 2**15 else np.int32), values[here], np.sqrt((left * left).sum(1)), float(left.max(initial=0.0))))
-        upper = lower
-    return {"ids": ids, "shape": values.shape, "segments": segments, "values": values}
-
-
-def exact_scores(query: np.ndarray, rows: np.ndarray) -> list[int]:
-    n = min(len(query), rows.shape[1])
-    a, b = query[:n], rows[:, :n]
-    if float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * n < 2.0**62:
-        return (b @ a).tolist()
-    most = 2**63 - 1
-    return [max(-most - 1, min(most, sum(int(x) * int(y) for x, y in zip(a, r, strict=True)))) for r in b]
-
-
-def best(index: dict, query_ids: list, queries: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query id, vector id, score) of each query's k best rows of the block,
-    ties to the smaller id, rows of the query's own id left out."""
-    n, d = index["shape"]
-    width = max(d, queries.shape[1])
-    q = np.zeros((len(queries), width))
-    q[:, : queries.shape[1]] = queries
-    norms, ones = np.sqrt((q * q).sum(1)), np.abs(q).sum(1)
-    ids = np.array([np.iinfo(np.int64).max if i is None else i for i in index["ids"]], np.int64)
-    own = ids[None, :] == np.array(query_ids, np.int64)[:, None]
-    scores, open_ = np.zeros((len(q), n)), np.arange(len(q))
-    slack = 1.0 if norms.max(initial=0) * max(s[3].max(initial=0) for s in index["segments"]) * 4 < EXACT else None
-    for rows, parts, values, rest, peak in index["segments"]:
-        if len(rows):
-            dense = np.zeros((n, width))
-            dense[rows, parts] = values
-            scores[open_] += q[open_] @ dense.T
-        at_end = not peak
-        bound = np.minimum(norms[open_, None] * rest[None, :], ones[open_, None] * peak) + (slack or 0)
+    """The impact-ordered index of a block, in the columns of INDEX but for the block's number."""
+    top = int(np.abs(values).max(initial=0))
+    step = 1 << max(0, top.bit_length() - 2)
+    rest, segments = values, []
+    while True:
+        digits = (rest + (step >> 1)) // step
+        rest = rest - digits * step
+        held = {"step": step, "rows": None, "parts": None, "digits": digits.astype(np.int8).tobytes(), "rest": np.sqrt((rest.astype(float) ** 2).sum(1)).astype("<f8").tobytes()}
+        if np.count_nonzero(digits) < SPARSE * digits.size:
+            parts, rows = np.nonzero(digits.T)
+            held |= {"rows": rows.astype("<i4").tobytes(), "parts": parts.astype("<i4").tobytes(), "digits": digits[rows, parts].astype(np.int8).tobytes()}
+        segments.append(held)
+        if step == 1:
+            break
+        step = max(1, step // FINER)
+    named = np.array([i is not None for i in ids])
+    numbers = np.array([0 if i is None else i for i in ids], "<i8")
+    return {"n": len(ids), "width": values.shape[1], "ids": numbers.tobytes(), "named": named.tobytes(), "longest": float(np.sqrt((values.astype(float) ** 2).sum(1)).max(initial=0.0)), "segments": segments}
+
+
+class Block:
+    """An index block as arrays."""
+
+    def __init__(self, held: dict):
+        self.n, self.width, self.longest = held["n"], held["width"], held["longest"]
+        self.ids, self.named = np.frombuffer(held["ids"], "<i8"), np.frombuffer(held["named"], bool)
+        self.segments = []
+        for s in held["segments"]:
+            digits, rest = np.frombuffer(s["digits"], np.int8), np.frombuffer(s["rest"], "<f8")
+            if s["rows"] is None:
+                self.segments.append((s["step"], None, None, digits.reshape(self.n, self.width), rest))
+            else:
+                self.segments.append((s["step"], np.frombuffer(s["rows"], "<i4"), np.frombuffer(s["parts"], "<i4"), digits, rest))
+
+    def values(self, rows: np.ndarray) -> np.ndarray:
+        """Whole vectors of these rows, from their digits."""
+        out, place = np.zeros((len(rows), self.width), np.int64), None
+        for step, of, parts, digits, _ in self.segments:
+            if of is None:
+                out += digits[rows].astype(np.int64) * step
+                continue
+            if place is None:
+                place = np.full(self.n, -1)
+                place[rows] = np.arange(len(rows))
+            here = place[of] >= 0
+            out[place[of[here]], parts[here]] += digits[here].astype(np.int64) * step
+        return out
+
+    def add(self, scores: np.ndarray, open_: np.ndarray, queries: np.ndarray, number: int) -> None:
+        """Adds a segment to the scores of the open queries."""
+        step, rows, parts, digits, _ = self.segments[number]
+        if rows is None:
+            q = queries[open_]
+            exact = float(np.abs(q).max(initial=0)) * 4 * self.width < 2**24  # whole numbers in single precision
+            kind = np.float32 if exact else np.float64
+            scores[open_] += (q.astype(kind) @ digits.astype(kind).T).astype(float) * step
+            return
+        ends = np.flatnonzero(np.diff(parts, append=-1)) + 1
+        for first, last in zip([0, *ends[:-1]], ends, strict=False):  # the postings of a component
+            scores[np.ix_(open_, rows[first:last])] += np.outer(queries[open_, parts[first]], digits[first:last].astype(float) * step)
+
+
+def best(block: Block, query_ids: list, queries: np.ndarray, least: np.ndarray, k: int, counts: Counter | None = None) -> Iterator[tuple]:
+    """(query id, vector id, score) of each query's k best rows of the block
+    that reach its `least` score, ties to the smaller id, rows of the query's
+    own id left out. `counts` gets what was done."""
+    counts = Counter() if counts is None else counts
+    n = block.n
+    whole = np.zeros((len(queries), block.width), np.int64)  # components that no row has add nothing
+    both = min(block.width, queries.shape[1])
+    whole[:, :both] = queries[:, :both]
+    q = whole.astype(float)
+    norms = np.sqrt((q * q).sum(1))
+    own = block.named[None, :] & (block.ids[None, :] == np.array(query_ids, np.int64)[:, None])
+    scores, open_, last = np.zeros((len(q), n)), np.arange(len(q)), len(block.segments) - 1
+    for number, (*_, rest) in enumerate(block.segments):
+        block.add(scores, open_, q, number)
+        counts["segments"] += len(open_)
+        # rounding of sums is far below a part in 2^40
+        bound = norms[open_, None] * (rest + 2.0**-40 * block.longest)[None, :] + 1
         lower = np.where(own[open_], -np.inf, scores[open_] - bound)
         kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-        possible = (scores[open_] + bound >= kth[:, None]) & ~own[open_]
-        if slack is None:
-            possible, at_end = ~own[open_], True  # beyond whole numbers in floating point: score all in full
+        possible = (scores[open_] + bound >= np.maximum(kth, least[open_])[:, None]) & ~own[open_]
         proven = possible.sum(1) <= max(4 * k, POSSIBLE * n)
-        for at in np.flatnonzero(proven | at_end):
-            number = open_[at]
-            rows_left = np.flatnonzero(possible[at])
-            full = exact_scores(queries[number], index["values"][rows_left])
-            order = sorted(range(len(rows_left)), key=lambda j: (-full[j], index["ids"][rows_left[j]] is None, ids[rows_left[j]]))
-            for j in order[:k]:
-                yield query_ids[number], index["ids"][rows_left[j]], full[j]
-        open_ = open_[~(proven | at_end)]
+        counts["stopped"] += int(proven.sum()) if number < last else 0
+        for at in np.flatnonzero(proven | (number == last)):
+            rows, query = np.flatnonzero(possible[at]), open_[at]
+            counts["rescored"] += len(rows)
+            full = block.values(rows) @ whole[query]
+            order = np.lexsort((block.ids[rows], ~block.named[rows], -full))[:k]
+            for j in order[full[order] >= least[query]]:
+                yield query_ids[query], int(block.ids[rows[j]]) if block.named[rows[j]] else None, int(full[j])
+        open_ = open_[~proven]
         if not len(open_):
             return
 
 
 def to_integers(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id and v, the bytes of floor(scale * x) as 64-bit integers; rows
-    without a vector, or with a null or non-finite component, are left out."""
+    """vec_id; v, the bytes of floor(scale * x) as 64-bit integers; and their
+    norm. Rows without a vector, with a null or non-finite component, or whose
+    norm could take scores beyond 64 bits, are left out."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     finite = F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [None if r is None else np.floor(np.clip(scale * np.asarray(r, np.float64), -(2.0**62), 2.0**62)).astype("<i8").tobytes() for r in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["vec_id", "v"])
+            rows, norms = [], []
+            for r in b.column(1).to_pylist():
+                v = np.floor(scale * np.asarray(r, np.float64))
+                norms.append(float(np.sqrt((v * v).sum())))
+                rows.append(v.astype("<i8").tobytes() if norms[-1] < MOST_NORM else b"")
+            made = pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), pa.array(norms, pa.float64())], ["vec_id", "v", "norm"])
+            yield made.filter(pa.array([x < MOST_NORM for x in norms], pa.bool_()))
+
+    return vectors.filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).mapInArrow(run, "vec_id long, v binary, norm double")
+
+
+def meet(asked: DataFrame, index: DataFrame, first: int, last: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k best of each of the blocks first
+    to last that reach its `least`. asked: vec_id, v, norm, least (or null), and
+    g, the number of its group."""
+    reach = F.min(F.when((F.col("norm") > 0) & F.col("least").isNotNull(), F.col("least") / F.col("norm")).otherwise(-float("inf")))
+    grouped = asked.groupBy("g").agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("asked"), reach.alias("reach"))
+    met = grouped.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(index, "block")
+    # a block none of whose vectors is long enough for any query of the group stays away
+    met = met.filter(F.col("longest") * (1 + 1e-9) >= F.col("reach"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                (row,) = b.slice(at, 1).to_pylist()
+                given = row["asked"]
+                least = np.array([-np.inf if a["least"] is None else a["least"] for a in given], float)
+                found = list(best(Block(row), [a["vec_id"] for a in given], matrix([a["v"] for a in given]), least, k))
+                if found:
+                    cols = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    return vectors.filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).mapInArrow(run, "vec_id long, v binary")
+    return met.drop("g", "reach", "block").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -126,33 +208,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     Both sides have vec_id and embedding. vec_id names a row: rows of a query's
     own id are no candidates of it, and of several query rows of one id the
     first in order of its bytes asks. Ties go to the smaller vec_id, null ids
-    last. Vectors of other lengths count as ending in zeros. Components are
-    taken between -2^62 and 2^62, and scores held in 64 bits. Empty tables give
-    no rows; a table of fewer rows gives fewer results.
+    last. Vectors of other lengths count as ending in zeros; those whose norm
+    after scaling is 2^31 or more could have scores that 64 bits don't hold, and
+    take no part. Empty tables give no rows; a table of fewer rows gives fewer
+    results.
     """
     rows = to_integers(vectors, scale)
     blocks = max(1, -(-vectors.count() // INDEX_ROWS))
 
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        index = build([None if pd.isna(i) else int(i) for i in batch["vec_id"]], matrix(batch["v"].tolist()))
-        return pd.DataFrame({"block": [int(batch["block"].iloc[0])], "index": [pickle.dumps(index, 5)]})
+    def pack(held: pa.Table) -> pa.Table:
+        made = build(held["vec_id"].to_pylist(), matrix(held["v"].to_pylist()))
+        return pa.Table.from_pylist([{"block": held["block"][0].as_py(), **made}], schema=ARROW_INDEX)
 
-    dealt = rows.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
-    index = dealt.groupBy("block").applyInPandas(pack, "block int, index binary")
+    # by the number of the row, so that one vector in very many rows is dealt evenly too
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    index = common.written(dealt.select("block", "vec_id", "v").groupBy("block").applyInArrow(pack, INDEX), "index")
 
-    asked = to_integers(queries, scale).filter("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     groups = max(1, -(-queries.count() // QUERY_ROWS))
-    grouped = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    met = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for asked, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = list(best(pickle.loads(data), [a["vec_id"] for a in asked], matrix([a["v"] for a in asked]), k))
-                if found:
-                    cols = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
-
-    found = met.select("asked", "index").mapInArrow(run, "query_id long, vec_id long, score long")
+    asked = to_integers(queries, scale).filter("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("q"))
+    asked = common.written(asked.select("vec_id", "q.v", "q.norm", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g")), "asked")
+    none = F.lit(None).cast("long").alias("least")
+    found = common.written(meet(asked.select("*", none), index.filter("block = 0"), 0, 0, k), "found")
+    if blocks > 1:
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        found = found.unionByName(meet(asked.join(floors, "vec_id", "left"), index.filter("block > 0"), 1, blocks - 1, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import types
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from quire.llm import bpe_chunks, chat, fingerprint, langid, neardup, packing, pii, queries, records, sharding, topk
+from quire.llm import bpe_chunks, chat, common, fingerprint, langid, neardup, packing, pii, queries, records, sharding, topk
 from quire.llm.bpe import Encoder
 from quire.llm.common import fresh_path
 
@@ -95,6 +96,65 @@ def test_topk(spark, scale):
     assert topk.search(none, none).count() == 0
 
 
+def test_topk_of_odd_rows(spark):
+    """Null ids, repeated ids, other lengths, scores too big for 64 bits, ties over several blocks."""
+    rows = [(i, [1.0, 2.0]) for i in range(40)] + [(None, [9.0, 9.0]), (None, [9.0, 9.0]), (50, [1.0]), (50, [0.5]), (60, [1.0, 0.0, 4.0]), (70, [1e30, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.search(df, df.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert got[0][:2] == [(1, None, 256 * 256 * 27), (2, None, 256 * 256 * 27)] and [x[1] for x in got[0][2:]] == [1, 2, 3]
+    assert set(got) == {0, 50} and [x[1:] for x in got[50]] == [(None, 256 * 9 * 256)] * 2 + [(i, 256 * 256) for i in range(3)]  # the bytes of 256 come before those of 128
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "INDEX_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    random = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in random.normal(size=8) * (1 + 9 * (i % 7 == 0))]) for i in range(400)] + [(500 + i, [1.0] * 8) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.search(df, df.filter("vec_id % 50 = 0")).collect()} == brute_topk(rows)
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_index_block_against_all_scores(sparse):
+    random = np.random.default_rng(8)
+    v = (random.normal(size=(300, 24)) * 40).astype(np.int64)
+    if sparse:
+        v[random.random(v.shape) < 0.97] = 0
+        v[5, 3] = 2**40
+    block = topk.Block({"block": 0} | topk.build([*range(299), None], v))
+    assert any((rows is not None) == sparse for _, rows, *_ in block.segments) and (block.values(np.arange(300)) == v).all()
+    q, least = v[:20], np.full(20, -np.inf)
+    least[3] = 10**6
+    want = []
+    for i in range(20):
+        order = sorted((-int(x), j) for j, x in enumerate(v @ q[i]) if j != i)[:5]
+        want += [(i, None if j == 299 else j, -s) for s, j in order if -s >= least[i]]
+    assert sorted(topk.best(block, list(range(20)), q, least, 5), key=repr) == sorted(want, key=repr)
+
+
+def test_searches_stop_by_proof():
+    """On the given table most queries stop before the last segment, with few rows scored in full."""
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()
+    v = np.floor(256 * np.array([r["embedding"] for r in rows])).astype(np.int64)
+    asked = np.array([i for i, r in enumerate(rows) if r["vec_id"] % 50 == 0])
+    ids, done = [r["vec_id"] for r in rows], collections.Counter()
+    block = topk.Block(topk.build(ids, v))
+    found = list(topk.best(block, [ids[i] for i in asked], v[asked], np.full(len(asked), -np.inf), 5, done))
+    assert len(found) == 5 * len(asked) and done["stopped"] > 0.9 * len(asked)
+    assert done["segments"] < (len(block.segments) - 0.5) * len(asked) and 5 * len(asked) <= done["rescored"] < 0.1 * len(asked) * len(rows)
+
+
+def test_folder_without_setting():
+    """A local session without spark.checkpoint.dir gets one folder; a cluster has to name its own."""
+    made = lambda master, app: types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master=master, applicationId=app))
+    first = common.shared_dir(made("local[4]", "a"))
+    assert first.startswith("file:///") and common.shared_dir(made("local[4]", "a")) == first != common.shared_dir(made("local[4]", "b"))
+    with pytest.raises(ValueError):
+        common.shared_dir(made("spark://host:7077", "c"))
+
+
 # 3
 def test_bpe_is_exact(spark, small):
     for path in (WORDS, BYTES):
