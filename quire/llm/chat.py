@@ -1,12 +1,19 @@
 """Chat formatting in budgeted windows of whole turns.
 
-Prefix sums of the turns' token counts place every turn on a line, cut into
-cells of half the budget left by the system turn. The turns that begin in a
-cell are new in its window. A window repeats the system turn, then the last
-turns before its new ones as far as the history limit and the budget go; only
-new assistant turns are under the loss mask, so each is a target once. A window
-keeps to the budget unless a single turn is longer than a cell; turns are never
-cut.
+A token is a run of up to six letters, of up to three digits, or one other
+visible character; exact counts of a tokenizer may be given in their place.
+Prefix sums of the turns' tokens put every turn on a line, which is cut into
+cells of the room that the system turn leaves. The turns that lie in a cell are
+a span of at most that room; a turn across a border goes before those of the
+cell that it ends in if all of it fits, else it is a span of its own. So spans
+are turn-aligned, no turn waits for the end of the one before to be known, and
+only a single turn longer than the room makes a window exceed the budget.
+
+A window shows its span's turns as new ones. It repeats the system turn, then
+the last turns before its span as far as the history limit and the budget go;
+only new assistant turns are under the loss mask, so each is a target once. A
+system turn of over three quarters of the budget isn't repeated and counts as
+any other turn; windows stay in the budget without it. Turns are never cut.
 
     ### role: text</turn>
 
@@ -23,6 +30,9 @@ from pyspark.sql.window import Window
 START, MIDDLE, END = "### ", ": ", "</turn>\n"
 CODES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
 BLOCK = 512
+TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
+#: A system turn that leaves less of the budget isn't repeated.
+LEAST_ROOM = 0.25
 
 
 def escape(text: Column, codes: tuple = CODES[:3]) -> Column:
@@ -37,23 +47,40 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def windows(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
+def near_spans(rows: DataFrame, history: int) -> DataFrame:
+    """_c, _cell, spans: the spans that turns of a cell may stand in, new or
+    repeated: at most two of the cell itself and of each of the two after it."""
+    part = lambda across, c: F.when(F.col("across") == F.lit(across), F.col(c))
+    ends = [F.min(part(True, "start")).alias("a0"), F.max(part(True, "end")).alias("a1"), F.min(part(False, "start")).alias("i0"), F.max(part(False, "end")).alias("i1")]
+    cells = rows.groupBy("conv_id", "cell").agg(*ends, F.first("room").alias("room"))
+    fits = F.coalesce(F.col("i1") - F.col("a0") <= F.col("room"), F.lit(False))
+    limit = lambda first, last: F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - (last - first)))
+    span = lambda n, first, last: F.named_struct(F.lit("window"), 2 * F.col("cell") + n, F.lit("first"), first, F.lit("last"), last, F.lit("limit"), limit(first, last))
+    across = F.when(F.col("a0").isNotNull(), span(0, F.col("a0"), F.when(fits, F.col("i1")).otherwise(F.col("a1"))))
+    inside = F.when(F.col("i0").isNotNull() & ~fits, span(1, F.col("i0"), F.col("i1")))
+    held = cells.withColumn("s", F.array_compact(F.array(across, inside)))
+    held = held.select(F.col("conv_id").alias("_c"), F.explode(F.array(*[F.col("cell") - i for i in range(3)])).alias("_cell"), "s")
+    return held.groupBy("_c", "_cell").agg(F.flatten(F.collect_list("s")).alias("spans"))
+
+
+def windows(conversations: DataFrame, budget: int = 512, history: int = 128, tokens: str | None = None) -> DataFrame:
     """conv_id, window, formatted, repeated (turns at its start that other
     windows have as new ones), loss (array of start, length in code points).
 
     Rows are turns, in order of turn, then role and text; nulls there count as
     empty, or as first for turn. Rows of a null conv_id form one conversation.
     Repeated rows are turns of their own. A system turn counts as such if it is
-    the first turn. Tokens are estimated as a quarter of the UTF-8 bytes of the
-    formatted turn. An empty table gives no rows; other columns are not read.
+    the first turn. `tokens` names a column of exact token counts of the
+    formatted turns. An empty table gives no rows; other columns are not read.
     """
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    shown = lambda role, text: F.concat(F.lit(START), escape(role, CODES), F.lit(MIDDLE), escape(text), F.lit(END))
-    size = lambda text: F.ceil(F.octet_length(text) / 4).cast("long")
-    firsts = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("f")).withColumn("_s", F.when(F.col("f.role") == "system", shown(F.col("f.role"), F.col("f.text"))))
-    firsts = firsts.select(F.col("conv_id").alias("_conv"), F.when(F.col("_s").isNotNull(), F.struct(size("_s").alias("tokens"), F.col("_s").alias("shown"))).alias("system"))
+    given = F.lit(None).cast("long") if tokens is None else F.col(tokens).cast("long")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), given.alias("tokens"))
+    shown = F.concat(F.lit(START), escape(F.col("role"), CODES), F.lit(MIDDLE), escape(F.col("text")), F.lit(END))
+    rows = rows.withColumn("shown", shown).withColumn("tokens", F.greatest(F.lit(1), F.coalesce("tokens", F.regexp_count("shown", F.lit(TOKEN)))).cast("long"))
+    firsts = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text", "tokens", "shown")).alias("f"))
+    lead = (F.col("f.role") == "system") & (F.col("f.tokens") <= budget * (1 - LEAST_ROOM))
+    firsts = firsts.select(F.col("conv_id").alias("_conv"), F.when(lead, F.struct("f.tokens", "f.shown")).alias("system"))
     # prefix sums inside blocks of turns, then over the blocks: no conversation is sorted in one task
-    rows = rows.withColumn("shown", shown(F.col("role"), F.col("text"))).withColumn("tokens", size("shown"))
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
     sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("sum"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,15 +89,14 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128) ->
     rows = rows.withColumn("end", F.sum("tokens").over(order)).join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
     rows = rows.withColumn("end", F.col("before") + F.col("end")).withColumn("start", F.col("end") - F.col("tokens")).drop("_c", "_b", "before")
     rows = rows.join(firsts, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    rows = rows.withColumn("room", F.greatest(F.lit(2), F.lit(budget) - F.coalesce("system.tokens", F.lit(0))))
-    rows = rows.withColumn("cell", F.floor(F.col("start") / F.floor(F.col("room") / 2)))
-    # a turn is new in the window of its cell, and may be history in the next one
-    rows = rows.withColumn("fresh", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("window", F.col("cell") + F.when(F.col("fresh"), 0).otherwise(1))
-    of = Window.partitionBy("conv_id", "window")
-    new = lambda c: F.when(F.col("fresh"), c)
-    rows = rows.withColumn("first", F.min(new(F.col("start"))).over(of)).withColumn("last", F.max(new(F.col("end"))).over(of))
-    limit = F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - (F.col("last") - F.col("first"))))
-    rows = rows.filter(F.col("first").isNotNull() & (F.col("fresh") | (F.col("first") - F.col("start") <= limit)))
+    rows = rows.withColumn("room", F.lit(budget) - F.coalesce("system.tokens", F.lit(0)))
+    rows = rows.withColumn("cell", F.floor((F.col("end") - 1) / F.col("room"))).withColumn("across", F.col("start") < F.col("cell") * F.col("room"))
+    spans = near_spans(rows, history)
+    rows = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("cell") == F.col("_cell"))).drop("_c", "_cell")
+    own = lambda s: (s["first"] <= F.col("start")) & (F.col("end") <= s["last"])
+    before = lambda s: (F.col("start") < s["first"]) & (s["first"] - F.col("start") <= s["limit"])
+    rows = rows.withColumn("span", F.explode(F.filter("spans", lambda s: own(s) | before(s)))).drop("spans")
+    rows = rows.withColumn("fresh", F.col("start") >= F.col("span.first")).withColumn("window", F.col("span.window"))
     # the system turn stands in front of every window that doesn't hold it as a new turn
     rows = rows.filter(F.col("fresh") | F.col("system").isNull() | (F.col("start") > 0))
     target = F.when(F.col("fresh") & (F.col("role") == "assistant"), F.length(F.concat(F.lit(START), escape(F.col("role"), CODES), F.lit(MIDDLE))))

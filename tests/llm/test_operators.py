@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
@@ -205,10 +206,44 @@ def test_chat_windows(spark):
         assert [t for _, _, ts in windows for t in ts] == [text for role, text in want if role == "assistant"]
     long = [r for r in whole if r["conv_id"] == 1]
     assert len(long) > 5 and all(r["formatted"].startswith("### system: ") for r in long) and any(r["repeated"] > 1 for r in long)
-    assert all(len(r["formatted"].encode()) / 4 <= 205 for r in long)
+    assert over_budget(whole, 200) <= 1  # a turn of 30000 letters
     assert chat.windows(df.filter("conv_id = 99")).count() == 0
 
 
+def over_budget(windows, budget):
+    """How many windows exceed the budget; each has a single new turn that does."""
+    count = lambda text: len(regex.findall(chat.TOKEN, text))
+    over = [r for r in windows if count(r["formatted"]) > budget]
+    for r in over:
+        turns = [t + chat.END for t in r["formatted"].split(chat.END)[:-1]]
+        assert len(turns) - r["repeated"] == 1 and all(t.startswith("### system: ") for t in turns[:-1])
+        assert count(turns[-1]) > budget - sum(map(count, turns[:-1]))
+    return len(over)
+
+
+def test_chat_windows_keep_to_the_budget(spark):
+    """No window of the given conversations exceeds the budget but for a turn that does alone, and few are small."""
+    made = chat.windows(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet"), budget=512, history=128).collect()
+    assert over_budget(made, 512) < 0.001 * len(made)
+    new = [len(regex.findall(chat.TOKEN, r["formatted"])) for r in made]
+    assert any(r["repeated"] > 0 for r in made) and len({r["conv_id"] for r in made}) < len(made) and np.mean(new) > 128
+
+
+def test_chat_of_long_system_turns(spark):
+    rows = [(c, i, "system" if i == 0 else "user", "word " * (n if i == 0 else 30)) for c, n in ((1, 600), (2, 300), (3, 10)) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.windows(df, budget=512, history=100).collect()
+    starts = {c: {r["formatted"].startswith("### system: ") for r in made if r["conv_id"] == c and r["window"] > 0} for c in (1, 2, 3)}
+    assert starts == {1: {True, False}, 2: {True}, 3: {True}} and over_budget(made, 512) == 1
+    assert sum(r["formatted"].startswith("### system: ") for r in made if r["conv_id"] == 1) == 1
+
+
+def test_chat_with_exact_counts(spark):
+    df = turns(spark).withColumn("n", F.lit(100))
+    made = chat.windows(df.filter("conv_id = 1"), budget=400, history=100, tokens="n").collect()
+    assert {len(r["formatted"].split(chat.END)) - 1 for r in made} == {3, 4} and {r["repeated"] for r in made} == {0, 1}
+
+
 def test_chat_query(spark):
     given = collections.defaultdict(list)
     for r in spark.read.parquet(f"{SMALL}/conversations.parquet").collect():
