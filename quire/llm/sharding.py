@@ -1,18 +1,22 @@
 """Sharding by balanced label propagation over links between equal texts.
 
-Labels are shards. They start from runs of the order of the texts' hashes, so
-that most linked documents begin together and shards differ by one row at most.
-Then, round by round, documents move towards the shard that holds most of their
-neighbours. A shard pair exchanges as many documents each way, which keeps the
-law that counts differ by one at most: whoever wants to move from s to t swaps
-with someone who wants to move from t to s, or with an unlinked document of t,
-for which all shards are alike. Moves beyond these quotas wait for the next
-round.
+Labels are shards. They start balanced and without regard to links: documents
+are dealt in order of a hash of their ids, so that shards differ by one row at
+most. Then, round by round, documents move towards the shards that hold most of
+their neighbours. A shard pair exchanges as many documents each way, which keeps
+the law that counts differ by one at most: whoever wants to move from s to t
+swaps with someone who wants to move from t to s, or with an unlinked document
+of t, for which all shards are alike. Moves beyond these quotas wait for the
+next round. Rounds go on until no link is mended any more.
 
 Neighbourhoods of equal texts are complete, so what a document has to know of
 its neighbours is the number of them in each shard: a table of (text, shard)
 counts, never a list of pairs. A text with very many copies adds at most
-`shards` rows to it.
+`shards` rows to it. Where such a text has more copies than a shard has rows, it
+has as many homes as it needs, the shards that hold most of it, and the others
+are spread over those. A home that has no row left to give is full; who can't
+get in tries the next best of the shards that aren't. Members of a home never
+leave it, so a move only ever joins a larger part, and the rounds come to an end.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql.window import Window
 
 from quire.llm import common
 
-SALTS, RANGES = 64, 1024
+#: Rows that a task ranks, about, and the most rows of the table of counts in between.
+RANKED, MOST_BUCKETS = 100_000, 1 << 16
 
 
 def documents_as_nodes(docs: DataFrame, fixed: int = 16) -> DataFrame:
@@ -36,39 +41,66 @@ def documents_as_nodes(docs: DataFrame, fixed: int = 16) -> DataFrame:
     )
 
 
+def buckets(rows: int, groups: int = 1) -> int:
+    """Into how many parts each of some groups is dealt for ranks."""
+    return max(16, min(MOST_BUCKETS // groups, -(-rows // (RANKED * groups))))
+
+
 def first_labels(nodes: DataFrame, shards: int, total: int) -> DataFrame:
-    """Labels by runs of the order (group, salt, document): counts one apart at most."""
-    salt = F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int")
-    salted = nodes.withColumn("salt", salt)
-    counts = salted.groupBy("group", "salt").agg(F.count(F.lit(1)).alias("n"))
-    in_group = Window.partitionBy("group").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("in_group", F.coalesce(F.sum("n").over(in_group), F.lit(0)))
-    # groups follow each other by their hash: sums inside ranges of hashes, then over the ranges
-    where = F.shiftright(F.col("group"), 64 - 10).cast("int").alias("range")
-    sizes = counts.groupBy("group").agg(F.sum("n").alias("members")).withColumn("range", where)
-    in_range = Window.partitionBy("range").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    over_ranges = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    starts = sizes.groupBy("range").agg(F.sum("members").alias("m")).select("range", F.coalesce(F.sum("m").over(over_ranges), F.lit(0)).alias("range_start"))
-    placed = sizes.withColumn("in_range", F.coalesce(F.sum("members").over(in_range), F.lit(0))).join(starts, "range")
-    firsts = counts.join(placed.select("group", "members", (F.col("range_start") + F.col("in_range")).alias("group_start")), "group")
-    firsts = firsts.select("group", "salt", "members", (F.col("group_start") + F.col("in_group")).alias("first"))
-    within = Window.partitionBy("group", "salt").orderBy("doc_id", "node")
-    ranked = salted.withColumn("r", F.row_number().over(within) - 1).join(firsts, ["group", "salt"])
-    rank = F.col("first") + F.col("r")
-    return ranked.select("node", "doc_id", "group", (F.col("members") > 1).alias("linked"), F.floor(rank * shards / F.lit(max(total, 1))).cast("int").alias("shard"))
-
-
-def propagate(labels: DataFrame, shards: int) -> DataFrame:
+    """Labels in order of a hash of ids, dealt out in turn: counts one apart at most."""
+    linked = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    spread = F.struct("doc_id", "node")
+    ranked = common.with_rank(nodes.select("node", "doc_id", "group"), [], [F.xxhash64("doc_id", "node"), F.col("node")], spread, "rank", buckets=buckets(total))
+    return ranked.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).join(linked, "group").select("node", "doc_id", "group", "members", "shard")
+
+
+def held(labels: DataFrame) -> DataFrame:
+    """group, members, shard, here: how many of a group's rows a shard has, for groups of two rows and more."""
+    return labels.filter("members > 1").groupBy("group", "members", "shard").agg(F.count(F.lit(1)).alias("here"))
+
+
+def mended(labels: DataFrame) -> tuple[int, int]:
+    """Links cut and links whole, of all pairs of equal texts."""
+    pairs = lambda n: n * (n - 1) / 2
+    by_group = held(labels).groupBy("group", "members").agg(F.sum(pairs(F.col("here").cast("decimal(19,0)"))).alias("whole"))
+    row = by_group.agg(F.sum("whole"), F.sum(pairs(F.col("members").cast("decimal(19,0)")))).first()
+    whole, all_ = (int(x or 0) for x in row)
+    return all_ - whole, whole
+
+
+def wishes(labels: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """group, shard, targets (an array to choose from), gain: where the members
+    of a group in a shard would go. Homes of a group are its first shards by
+    (here, hash), as many as its size needs."""
+    by_size = [F.desc("here"), F.xxhash64("group", "shard"), F.col("shard")]
+    of = Window.partitionBy("group")  # a row a shard
+    needed = F.ceil(F.col("members") / capacity)
+    ranked = held(labels).withColumn("place", F.row_number().over(of.orderBy(*by_size))).withColumn("home", F.col("place") <= needed)
+    settled = ranked.filter("home").groupBy("shard").agg(F.sum("here").alias("settled"))
+    sizes = labels.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    full = sizes.join(settled, "shard").filter("settled >= rows").select("shard", F.lit(True).alias("full"))  # `shards` rows at most
+    ranked = ranked.join(F.broadcast(full), "shard", "left").withColumn("open", F.col("full").isNull())
+    ranked = ranked.withColumn("nth", F.sum(F.col("open").cast("int")).over(of.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    # the rows outside full homes go to the first shards that have room, as many as they need; only those before a shard draw its members
+    rest = F.col("members") - F.sum(F.when(F.col("home") & ~F.col("open"), F.col("here")).otherwise(0)).over(of)
+    target = F.when(F.col("open") & (F.col("nth") <= F.ceil(rest / capacity)), F.struct("place", "shard"))
+    ranked = ranked.withColumn("all", F.array_sort(F.collect_list(target).over(of)))
+    targets = F.transform(F.filter("all", lambda t: t["place"] < F.col("place")), lambda t: t["shard"])
+    return ranked.filter(~F.col("home")).select("group", "shard", targets.alias("targets"), F.col("members").alias("gain")).filter(F.size("targets") > 0)
+
+
+def propagate(labels: DataFrame, shards: int, total: int) -> DataFrame:
     """One round: moves towards the neighbours' shards, within swap quotas."""
-    held = labels.filter("linked").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here"))
-    best = held.groupBy("group").agg(F.count(F.lit(1)).alias("spread"), F.max(F.struct("here", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("top"))
-    # from each shard to the one with most neighbours; ties by a hash, so that both sides agree
-    wish = held.join(best.filter("spread > 1"), "group").filter(F.col("shard") != F.col("top.shard")).select("group", "shard", F.col("top.shard").alias("target"), F.col("top.here").alias("gain"))
-    wishing = labels.filter("linked").join(wish, ["group", "shard"])
-    wishing = common.with_rank(wishing, ["shard", "target"], [F.desc("gain"), F.col("group"), F.col("node")], F.struct("group", "node"), "rank")
+    wish = wishes(labels, shards, max(1, total // shards))
+    wishing = labels.filter("members > 1").join(wish, ["group", "shard"])
+    # of several homes, each member draws one
+    drawn = F.get("targets", F.pmod(F.xxhash64("node"), F.size("targets")).cast("int"))
+    wishing = wishing.withColumn("target", drawn).drop("targets")
+    parts = buckets(total, shards * shards)
+    wishing = common.with_rank(wishing, ["shard", "target"], [F.desc("gain"), F.col("group"), F.col("node")], F.col("group"), "rank", buckets=parts)
     demand = wishing.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("want"))
     back = demand.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("want").alias("returning"))
-    free = common.with_rank(labels.filter("not linked"), ["shard"], [F.col("node")], F.col("node"), "rank")
+    free = common.with_rank(labels.filter("members = 1"), ["shard"], [F.col("node")], F.col("node"), "rank", buckets=buckets(total, shards))
     stock = free.groupBy(F.col("shard").alias("target")).agg(F.count(F.lit(1)).alias("free"))
     # shards * shards rows at most: the free documents of a target go to the sources in order
     pairs = demand.join(back, ["shard", "target"], "left").join(stock, "target", "left").fillna(0, ["returning", "free"])
@@ -76,26 +108,36 @@ def propagate(labels: DataFrame, shards: int) -> DataFrame:
     before = Window.partitionBy("target").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumn("from", F.coalesce(F.sum("extra").over(before), F.lit(0)))
     pairs = pairs.withColumn("given", F.greatest(F.least(F.col("extra"), F.col("free") - F.col("from")), F.lit(0)))
-    pairs = pairs.withColumn("quota", F.least("want", "returning") + F.col("given"))
-    moves = wishing.join(pairs.select("shard", "target", "quota"), ["shard", "target"]).filter(F.col("rank") < F.col("quota")).select("node", F.col("target").alias("to"))
-    swaps = pairs.filter("given > 0").select(F.col("target").alias("shard"), F.col("shard").alias("to"), "from", "given")
-    freed = free.join(swaps, "shard").filter((F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("from") + F.col("given"))).select("node", "to")
+    pairs = common.written(pairs.withColumn("quota", F.least("want", "returning") + F.col("given")), "quotas")
+    moves = wishing.join(F.broadcast(pairs.select("shard", "target", "quota")), ["shard", "target"]).filter(F.col("rank") < F.col("quota")).select("node", F.col("target").alias("to"))
+    swaps = pairs.filter("given > 0").groupBy(F.col("target").alias("shard")).agg(F.collect_list(F.struct("from", "given", F.col("shard").alias("to"))).alias("swaps"))
+    found = F.get(F.filter("swaps", lambda s: (F.col("rank") >= s["from"]) & (F.col("rank") < s["from"] + s["given"])), F.lit(0))
+    freed = free.join(F.broadcast(swaps), "shard").select("node", found["to"].alias("to")).filter("to is not null")
     moved = labels.join(moves.unionByName(freed), "node", "left")
-    return moved.select("node", "doc_id", "group", "linked", F.coalesce("to", "shard").alias("shard"))
+    return moved.select("node", "doc_id", "group", "members", F.coalesce("to", "shard").alias("shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 2) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 12, trace: list | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     Law `rows`: counts of shards are one apart at most. Slots run from 0
-    without gaps. Rows of equal texts (nulls are alike) are linked. Repeated
-    rows are rows of their own, a null doc_id sorts first, an empty table gives
-    no rows. Other columns are not read.
+    without gaps. Rows of equal texts (nulls are alike) are linked. Rounds end
+    when no more links are whole than before, after `rounds` at the latest;
+    `trace` gets the numbers of links cut and whole before each. Repeated rows
+    are rows of their own, a null doc_id sorts first, an empty table gives no
+    rows. Other columns are not read.
     """
     nodes = common.written(documents_as_nodes(docs).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = common.written(first_labels(nodes, shards, nodes.count()), "labels")
+    total, trace = nodes.count(), [] if trace is None else trace
+    labels = common.written(first_labels(nodes, shards, total), "labels")
+    trace.append(mended(labels))
     for _ in range(rounds):
-        labels = common.written(propagate(labels, shards), "labels")
+        if not trace[-1][0]:
+            break
+        labels = common.written(propagate(labels, shards, total), "labels")
+        trace.append(mended(labels))
+        if trace[-1][1] <= trace[-2][1]:
+            break
     rows = nodes.join(labels.select("node", "shard"), "node")
-    slotted = common.with_rank(rows, ["shard"], [F.col("doc_id"), F.col("node")], F.col("node"), "slot", buckets=256)
+    slotted = common.with_rank(rows, ["shard"], [F.col("doc_id"), F.col("node")], F.col("node"), "slot", buckets=buckets(total, shards))
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -340,19 +340,22 @@ def test_shards(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
-def test_propagation_mends_cut_groups(spark):
-    rows = [(i, i, i // 3 if i < 90 else i, i < 90, i % 6) for i in range(360)]
-    labels = spark.createDataFrame(rows, "node long, doc_id long, `group` long, linked boolean, shard int")
-    before = collections.Counter(r["shard"] for r in labels.collect())
-    for _ in range(2):
-        labels = spark.createDataFrame(sharding.propagate(labels, 6).collect(), labels.schema)
-    rows = labels.collect()
-    assert collections.Counter(r["shard"] for r in rows) == before
-    held = collections.defaultdict(set)
-    for r in rows:
-        if r["linked"]:
-            held[r["group"]].add(r["shard"])
-    assert all(len(s) == 1 for s in held.values())
+def test_propagation_joins_groups(spark):
+    """Rounds take links from nearly all cut to whole, shards stay even, and a text of more rows than a shard has fills whole ones."""
+    rows = [(i, f"text {i}") for i in range(2000)] + [(3000 + i, f"few {i % 150}") for i in range(600)] + [(5000 + i, "hot") for i in range(1000)]
+    df, trace = spark.createDataFrame(rows, "doc_id long, text string"), []
+    got = sharding.shard_documents(df, 20, trace=trace).collect()
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    cut, whole = zip(*trace, strict=True)
+    assert all(c + w == cut[0] + whole[0] for c, w in trace) and whole[0] < 0.1 * cut[0] and list(whole[:-1]) == sorted(set(whole[:-1]))
+    text = dict(rows)
+    held = collections.defaultdict(collections.Counter)
+    for r in got:
+        held[text[r["doc_id"]]][r["shard"]] += 1
+    few = [c for t, c in held.items() if t.startswith("few")]
+    assert sum(len(c) == 1 for c in few) >= 0.98 * len(few)
+    assert len(held["hot"]) <= 8  # six shards would hold it
 
 
 # 7
