@@ -18,7 +18,8 @@ BUDGET = 2048
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in learned languages, also in several of them.
+    """Keeps documents in learned languages, also in several of them, with the
+    language that was found as their `lang`.
 
     A null text or one without letters has none. Others need the evidence that
     is calibrated on the training sample (`langid.calibrate`): the share of
@@ -27,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = langid.fit(docs)
     found = langid.predict(docs, model, COLUMNS, evidence=True)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("evidence") >= model.least)).select(COLUMNS)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("evidence") >= model.least)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +40,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every span in the text; keeps all documents."""
+    """Replaces every span in the text and counts its characters anew; keeps all
+    documents. A null text stays null, with a null n_chars; texts without spans
+    and other columns are left as they are."""
     found = pii.find_spans(docs, tuple(COLUMNS))
-    text = pii.redacted(F.col("text"), F.col("spans"))
-    return found.withColumn("text", text).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return pii.redacted(found, "text", "spans").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most BUDGET tokens, a row a piece.
+
+    A null or empty text is its end token alone. Repeated rows and null ids are
+    documents of their own; texts of more than BUDGET tokens are cut, at any
+    length. An empty table gives no rows, and other columns are not read.
+    """
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), BUDGET)
 
 
