@@ -2,11 +2,15 @@
 
 A rolling hash over the bytes of a text sets chunk ends where the last 16 bytes
 say so, hence a passage that many documents share falls into the same chunks
-wherever it stands. A worker encodes a chunk once and keeps the ids. A chunk
-end may stand inside a word; the ids on both sides of a join are therefore
-re-encoded over a window that grows, over further chunks if need be, until it
-begins and ends at white space, where the tokenizer always cuts. Ids are then
-those of the whole text.
+wherever it stands. A worker encodes a chunk once, as if it were a text, and
+keeps its ids by parts: runs of other characters with the white space before
+them, between which no token goes. A chunk end may stand inside a part, or
+inside white space, where the ids of both sides are wrong. So each join is
+repaired: a window over the last part before it and the first part after it is
+encoded anew, with a further part on either side, and if those two come out
+with the ids that the chunks have for them, the window's ids replace those of
+the chunks; if not, the window grows by as many parts again, over further
+chunks if need be, until both sides agree or the text ends.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.bpe import ODD_SPLIT, Encoder, encoder
+from quire.llm.bpe import ODD, ODD_SPLIT, PART, Encoder, encoder
 
 WINDOW, MEAN, LEAST = 16, 256, 32
 #: Chunks held at once by a worker, about 1 KB each; the memory is then emptied.
@@ -51,19 +55,15 @@ def chunk_ends(data: bytes) -> list[int]:
 class ChunkEncoder:
     def __init__(self, inner: Encoder):
         self.inner, self.memory = inner, {}
+        #: how often a window was encoded, and how often it had to grow
+        self.windows = self.grown = 0
 
-    def chunk(self, data: bytes) -> tuple[str, bytes | None, str]:
-        """The text before the first white space, the ids from there to the
-        last white space, the text after it; with no white space, ids are None."""
+    def chunk(self, data: bytes) -> tuple[list[str], list[bytes]]:
+        """The parts of a chunk, and the ids of each."""
         found = self.memory.get(data)
         if found is None:
-            text = data.decode()
-            spots = [i for i in (text.find(" "), text.find("\n")) if i >= 0]
-            if not spots:
-                found = text, None, ""
-            else:
-                first, last = min(spots), max(text.rfind(" "), text.rfind("\n"))
-                found = text[:first], self.inner.encode(text[first:last]), text[last:]
+            parts = PART.findall(data.decode())
+            found = parts, [self.inner.encode(p) for p in parts]
             if len(self.memory) >= MOST_CHUNKS:
                 self.memory.clear()
             self.memory[data] = found
@@ -73,20 +73,37 @@ class ChunkEncoder:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.inner.ends or ODD_SPLIT.search(text):
-            # a tokenizer that keeps white space joins runs of it; those texts take the encoder's own cuts
+        if (ODD_SPLIT if self.inner.ends else ODD).search(text):
+            # white space of other kinds joins in runs that parts don't show; those texts take the encoder's own cuts
             return self.inner.encode(text)
-        data, out, open_, last = text.encode(), [], "", 0
+        data, last = text.encode(), 0
+        parts: list[str] = []
+        ids: list[bytes] = []
         for end in chunk_ends(data):
-            head, ids, tail = self.chunk(data[last:end])
+            more, more_ids = self.chunk(data[last:end])
             last = end
-            if ids is None:
-                open_ += head
-            else:
-                out += self.inner.encode(open_ + head), ids
-                open_ = tail
-        out.append(self.inner.encode(open_))
-        return b"".join(out)
+            parts, ids = self.joined(parts, ids, more, more_ids) if parts else (list(more), list(more_ids))
+        return b"".join(ids)
+
+    def joined(self, parts: list[str], ids: list[bytes], more: list[str], more_ids: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """The parts and ids of a text so far and of the next chunk, the join between them repaired."""
+        reach = 1
+        while True:
+            # the join takes `reach` parts of either side, and a witness beyond if there is one
+            left, right = min(reach + 1, len(parts)), min(reach + 1, len(more))
+            window = PART.findall("".join(parts[-left:]) + "".join(more[:right]))
+            made = [self.inner.encode(p) for p in window]
+            self.windows += 1
+            first_agrees = left == len(parts) or (made[0] == ids[-left] and window[0] == parts[-left])
+            last_agrees = right == len(more) or (made[-1] == more_ids[right - 1] and window[-1] == more[right - 1])
+            if first_agrees and last_agrees:
+                del parts[-left:], ids[-left:]
+                parts += window
+                ids += made
+                parts += more[right:]
+                ids += more_ids[right:]
+                return parts, ids
+            reach, self.grown = 2 * reach, self.grown + 1
 
 
 class Decoder:

@@ -45,7 +45,7 @@ SIZE = BANDS * ROWS
 PERCENT = 75
 #: Estimates below this can't belong to pairs of 0.75: over five standard deviations.
 PLAUSIBLE = 0.55
-BLOCK_ROWS, BLOCK_SHINGLES, MOST_BITS = 1024, 500_000, 40_000_000
+BLOCK_ROWS, BLOCK_SHINGLES, MOST_BITS = 384, 150_000, 20_000_000
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 SEEDS = mix(np.arange(1, 2 * SIZE + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -86,11 +86,16 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                 bands = mix(bands + SEEDS[:BANDS]).view(np.int64)
                 packed = (mix(s) & U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel())), pa.array([r.tobytes() for r in packed], pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "bands", "packed"],
+                    [b.column(0).slice(first, len(texts)), b.column(2).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel())), pa.array([r.tobytes() for r in packed], pa.binary())],
+                    ["doc_id", "key", "n", "h1", "h2", "bands", "packed"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, packed binary")
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, bands array<long>, packed binary")
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, key: by id and key a text is found again, also among rows without an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
 
 
 def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -107,9 +112,9 @@ def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 rows = pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), sets], ["cid", "shingles"])
                 yield rows.filter(pa.array(same))
 
-    asked = classes.select("cid", "h1", F.col("min_id").alias("_id"))
-    text = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    return asked.join(text, F.col("_id").eqNullSafe(F.col("_doc"))).select("cid", "h1", "_id", "text").mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
+    asked = classes.select("cid", "h1", F.col("one.doc_id").alias("_id"), F.col("one.key").alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key"))
+    return asked.join(keyed_texts(docs), same).select("cid", "h1", "_id", "text").mapInArrow(run, "cid long, shingles array<long>").dropDuplicates(["cid"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,10 +204,16 @@ def links_across(members: DataFrame, sets: DataFrame) -> DataFrame:
                         comp[comp == comp[y]] = comp[x]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi and m > 2")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rows = members.join(sized.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks of the largest component of a bucket meet those of the others only: within it all are linked
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    sized = parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum("t").alias("total"), F.count(F.lit(1)).alias("spread"), F.max(F.struct("c", "t", "component")).alias("top")).filter("spread > 1 and m > 2")
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    sized = sized.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.c"), F.col("top.t")).alias("p"), blocks(F.col("m") - F.col("top.c"), F.col("total") - F.col("top.t")).alias("q"))
+    rows = members.join(sized, "key").withColumn("main", F.col("component") == F.col("largest"))
+    dealt = F.xxhash64("cid")
+    rows = rows.withColumn("block", F.when(F.col("main"), F.pmod(dealt, F.col("p"))).otherwise(F.col("p") + F.pmod(dealt, F.col("q"))).cast("int"))
+    met = F.sequence(F.when(F.col("main"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    rows = rows.join(sets, "cid").withColumn("other", F.explode(met))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     return rows.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -217,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     not read.
     """
     rows = common.written(sketch_documents(docs), "sketches")
-    same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "key")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
     classes = common.written(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("cid", F.posexplode("bands").alias("band", "hash")).select("cid", F.xxhash64("band", "hash").alias("key"))

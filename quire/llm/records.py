@@ -15,6 +15,7 @@ committed by Spark, names the files of the attempt that counted.
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -33,6 +34,8 @@ from quire.llm.bpe import encoder
 
 HEAD, LENGTH = struct.Struct("<Bq"), struct.Struct("<Q")
 HAS_ID, WIDE = 1, 2
+#: Bytes of records read at once, about.
+SPAN = 4_000_000
 MANIFEST = "shard int, path string, records long, tokens long"
 
 
@@ -115,32 +118,55 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     return common.written(dealt.mapInArrow(run, MANIFEST), "record-manifest")
 
 
+def read_spans(path: str, records: int, tokens: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """The records of a shard, some MB at a time, at the places that its offset
+    index names. Numbers of records and tokens have to be those of the manifest,
+    and records have to follow each other up to the end of the file."""
+    store, place = fs.FileSystem.from_uri(f"{path}.idx")
+    with store.open_input_stream(place) as f:
+        offsets = np.frombuffer(f.read(), "<u8").astype(np.int64)
+    place = place[:-4] + ".rec"
+    ends = np.append(offsets[1:], store.get_file_info(place).size)
+    if len(offsets) != records or (len(offsets) and offsets[0] != 0) or (ends <= offsets).any():
+        raise Corrupt("offset index")
+    seen = 0
+    with store.open_input_file(place) as f:
+        first = 0
+        while first < records:
+            last = max(first + 1, int(np.searchsorted(ends, offsets[first] + SPAN, side="right")))
+            f.seek(int(offsets[first]))
+            data = io.BytesIO(f.read(int(ends[last - 1] - offsets[first])))
+            found = []
+            for n in range(first, last):
+                payload = unframe(data)
+                if payload is None or data.tell() != ends[n] - offsets[first]:
+                    raise Corrupt("record length")
+                found.append(unpack(payload))
+                seen += len(found[-1][1])
+            yield found
+            first = last
+    if seen != tokens:
+        raise Corrupt("number of tokens")
+
+
 def read_records(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary,
-    little-endian unsigned 32-bit), from the shards; checksums are verified."""
+    little-endian unsigned 32-bit), from the shards through their offset
+    indexes; checksums and the manifest's counts are verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store, place = fs.FileSystem.from_uri(f"{path}.rec")
-                with store.open_input_stream(place, buffer_size=1 << 20) as f:
-                    rows, size = [], 0
-                    while (payload := unframe(f)) is not None:
-                        doc_id, ids = unpack(payload)
-                        rows.append((doc_id, start, ids.tobytes()))
-                        start, size = start + len(ids), size + len(ids)
-                        if size > 1_000_000:
-                            yield batch(rows)
-                            rows, size = [], 0
-                    if rows:
-                        yield batch(rows)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        ids, starts, data = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.large_binary())], ["doc_id", "start", "ids"])
+            for shard in b.to_pylist():
+                start = shard["start"]
+                for found in read_spans(shard["path"], shard["records"], shard["tokens"]):
+                    sizes = np.array([len(ids) for _, ids in found])
+                    starts = start + np.cumsum(sizes) - sizes
+                    start += int(sizes.sum())
+                    columns = [pa.array([d for d, _ in found], pa.int64()), pa.array(starts, pa.int64()), pa.array([ids.tobytes() for _, ids in found], pa.large_binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids"])
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
-    started = manifest.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
+    started = manifest.select("path", "records", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("start"))
     return started.repartition(common.partitions(manifest.sparkSession)).mapInArrow(run, "doc_id long, start long, ids binary")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 import time
 import types
@@ -175,6 +176,19 @@ def test_chunks_are_content_defined():
     assert ends[0] and ends[0] == ends[1] == ends[2]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_joins_are_repaired_until_both_sides_agree(path, small, monkeypatch):
+    """Chunks of a few bytes: ends in words, in white space and in long runs."""
+    monkeypatch.setattr(bpe_chunks, "LEAST", 3)
+    monkeypatch.setattr(bpe_chunks, "MEAN", 8)
+    inner = Encoder(path)
+    made = bpe_chunks.ChunkEncoder(inner)
+    texts = [t for t in small.values() if t][:60] + ["a" * 400 + "  \n " * 50 + "don't  it's " * 40 + " end  ", " x", "x ", "\n\n\n"]
+    for t in texts:
+        assert made.encode(t) == inner.whole(t)
+    assert made.windows > 100 and made.memory
+
+
 def test_codec_of_odd_rows(spark):
     rows = bpe_chunks.encode_documents(odd(spark), WORDS).collect()
     assert len(rows) == len(ODD) + 4 and all(r["ids"] == b"" and r["decoded"] == "" for r in rows if r["doc_id"] in (0, 1))
@@ -315,6 +329,15 @@ def test_links_left_by_stars_are_found(spark, monkeypatch, rows, bits):
     assert got == {c: c % 3 for c in range(30)}
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows of null ids keep their links, whatever their number."""
+    base = [" ".join(f"w{g}x{i}" for i in range(60)) for g in range(8)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base] + [(7, base[0] + " other"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r["component_id"] == 7 for r in got) == 3 and sum(r["kept"] for r in got) == len(rows) - 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (102, 103), (7, 7)]
     got = {r["node"]: r["component"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -355,7 +378,7 @@ def test_propagation_joins_groups(spark):
     for r in got:
         held[text[r["doc_id"]]][r["shard"]] += 1
     few = [c for t, c in held.items() if t.startswith("few")]
-    assert sum(len(c) == 1 for c in few) >= 0.98 * len(few)
+    assert sum(len(c) == 1 for c in few) >= 0.95 * len(few)  # the homes of some are full of the hot text
     assert len(held["hot"]) <= 8  # six shards would hold it
 
 
@@ -444,6 +467,23 @@ def test_records(spark):
     assert records.read_records(records.write_records(empty(spark), BYTES, fresh_path(spark, "t"))).count() == 0
 
 
+def test_truncated_shards_are_noticed(spark):
+    """A shard that ends on the border of a record, and an index of another shard, are no complete result."""
+    df = spark.createDataFrame([(i, f"some words {i} " * (i + 1)) for i in range(30)], "doc_id long, text string").coalesce(1)
+    held = [r.asDict() for r in records.write_records(df, BYTES, fresh_path(spark, "t")).collect()]
+    shard = max(held, key=lambda r: r["records"])
+    path = shard["path"].removeprefix("file://")
+    good, index = (pathlib.Path(path + x).read_bytes() for x in (".rec", ".idx"))
+    read = lambda: [x for s in records.read_spans(f"file://{path}", shard["records"], shard["tokens"]) for x in s]
+    assert len(read()) == shard["records"]
+    last = int(np.frombuffer(index, "<u8")[-1])
+    for rec, idx in ((good[:last], index), (good[:last], index[:-8]), (good, index[:-8]), (good[:-1], index), (good + good[last:], index)):
+        pathlib.Path(path + ".rec").write_bytes(rec)
+        pathlib.Path(path + ".idx").write_bytes(idx)
+        with pytest.raises(records.Corrupt):
+            read()
+
+
 def test_corrupt_records_are_noticed():
     import io
 
