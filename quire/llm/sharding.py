@@ -29,6 +29,7 @@ from quire.llm import common
 
 #: Rows that a task ranks, about, and the most rows of the table of counts in between.
 RANKED, MOST_BUCKETS = 100_000, 1 << 16
+SALTS = 16
 
 
 def documents_as_nodes(docs: DataFrame, fixed: int = 16) -> DataFrame:
@@ -48,10 +49,13 @@ def buckets(rows: int, groups: int = 1) -> int:
 
 def first_labels(nodes: DataFrame, shards: int, total: int) -> DataFrame:
     """Labels in order of a hash of ids, dealt out in turn: counts one apart at most."""
-    linked = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    linked = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # rows of one group meet its size in several places, so that a very common text isn't one task
+    linked = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = F.struct("doc_id", "node")
     ranked = common.with_rank(nodes.select("node", "doc_id", "group"), [], [F.xxhash64("doc_id", "node"), F.col("node")], spread, "rank", buckets=buckets(total))
-    return ranked.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).join(linked, "group").select("node", "doc_id", "group", "members", "shard")
+    ranked = ranked.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return ranked.join(linked, ["group", "salt"], "left").select("node", "doc_id", "group", F.coalesce("members", F.lit(1)).alias("members"), "shard")
 
 
 def held(labels: DataFrame) -> DataFrame:
