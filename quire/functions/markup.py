@@ -293,3 +293,74 @@ def extracted_math(c: Column) -> Column:
         return F.struct(tex.alias("tex"), (double & wide).alias("display"))
 
     return F.struct(text.alias("text"), F.transform(F.filter(all_, lambda m: ~is_code(m)), formula).alias("formulas"))
+
+
+#: What a reader sees in place of a formula or table that could not be read.
+FORMULA_LOST = "【公式未能完整提取：PDF 排版导致分子/分母与上下标被打散，请对照左侧 PDF 原文】"
+TABLE_LOST = "【表格未能读出，请对照左侧 PDF 原文】"
+
+
+def around(c: Column, pattern: str, outside, inside) -> Column:
+    """The text with `outside` of the pieces between matches and `inside` of the matches."""
+    matches = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(F.split(c, pattern, -1), matches, lambda gap, m: F.concat(outside(gap), F.coalesce(inside(m), F.lit("")))), "")
+
+
+def sanitized_maths(c: Column) -> Column:
+    """Delimiters as dollar signs, LaTeX repaired, bare commands outside formulas
+    put between dollar signs, a lone dollar sign full-width. For text without code."""
+    dollars = F.regexp_replace(F.regexp_replace(c, r"(?s)\\\[(.+?)\\\]", r"\$\$$1\$\$"), r"(?s)\\\((.+?)\\\)", r"\$$1\$")
+    return T.even_dollars(around(dollars, r"(?s)\$\$.+?\$\$|\$[^$\n]+?\$", lambda gap: wrapped_latex(unescaped_latex(gap)), unescaped_latex))
+
+
+def sanitized_translation(c: Column) -> Column:
+    """A model's translation as it is shown: line ends and leaked thoughts first,
+    then maths outside code, then markers. A formula marker that isn't a box, or
+    has none, and any table marker left becomes a remark. Null counts as empty."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""), "</think>", "")
+    t = F.btrim(around(t, r"```[\s\S]*?```|`[^`\n]+`", sanitized_maths, lambda m: m), F.lit(T.BLANK))
+    numbers = lambda m: F.transform(F.split(F.regexp_extract(m, ":([^⟧]*)⟧", 1), ",", -1), lambda n: F.btrim(n, F.lit(T.BLANK)).try_cast("double"))
+    sound = lambda v: (F.size(v) == 4) & F.forall(v, lambda n: n.isNotNull()) & (F.get(v, F.lit(2)) > F.get(v, F.lit(0))) & (F.get(v, F.lit(3)) > F.get(v, F.lit(1)))
+    shown = lambda m: F.when(sound(numbers(m)), F.concat(F.lit("⟦FORMULA:"), F.array_join(F.transform(numbers(m), lambda n: F.format_string("%.1f", n)), ","), F.lit("⟧"))).otherwise(FORMULA_LOST)
+    t = F.replace(around(t, "⟦FORMULA:[^⟧]*⟧", lambda gap: gap, lambda m: F.when(m.isNotNull(), shown(m))), F.lit("⟦FORMULA⟧"), F.lit(FORMULA_LOST))
+    return F.regexp_replace(t, "⟦TABLE[^⟧]*⟧", TABLE_LOST)
+
+
+#: What a user is told of a failed call.
+NO_BODY, BODY_CUT = "未产出正文", "译文不完整"
+MESSAGES = {
+    "no body": "模型这次没有产出任何正文（只输出了思考过程，正文为空）。换个模型再试，或把问题问得更具体一点。",
+    "cut": "模型输出被长度限制截断了，回答不完整。换个模型，或缩小范围（少看上下文）再试。",
+    "quota": "模型额度用完了（HTTP 429 · 配额耗尽）：套餐/余额额度已用尽，现在重试也一样。等额度恢复再试，或在 .env 里配一个你自己的模型。",
+    "rate": "请求太频繁（HTTP 429 · 限流）：刚发出的请求超过了该模型的每分钟上限。等几十秒再试，或换一个模型/拉长间隔。",
+    "401": "鉴权失败（HTTP 401）：API Key 无效或没有权限，检查 .env 里的 LLM_API_KEY / AGNES_API_KEY。",
+    "403": "鉴权被拒（HTTP 403）：API Key 没有这个模型的权限，换一个 key 或模型。",
+    "404": "接口或模型不存在（HTTP 404）：检查 .env 里的 base_url 和模型名是否写错。",
+    "400": "请求被上游拒绝（HTTP 400）：模型名或参数不对，检查 .env 里的模型配置。",
+}
+
+
+def http_message(status: Column, message: Column) -> Column:
+    """What a user is told of an HTTP status; 429 is told apart by the message."""
+    told = F.when(status == 429, F.when(quota_exhausted(status, message), MESSAGES["quota"]).otherwise(MESSAGES["rate"]))
+    for code in ("401", "403", "404", "400"):
+        told = told.when(status == int(code), MESSAGES[code])
+    number = status.cast("string")
+    told = told.when(status.between(500, 599), F.concat(F.lit("上游模型服务暂时不可用（HTTP "), number, F.lit("）：稍后重试；一直失败就换个模型。")))
+    return told.otherwise(F.concat(F.lit("模型接口返回错误（HTTP "), number, F.lit("）。")))
+
+
+def error_message(message: Column) -> Column:
+    """What a user is told of an exception: marks of missing or cut output, then
+    the HTTP status it names after what comes before it, else its own first 300
+    characters; secrets and local paths never show. Null counts as empty."""
+    m = F.coalesce(message, F.lit(""))
+    pattern = r"(?s)HTTP\s+([0-9]{3})\s*[:：]"
+    status = F.regexp_extract(m, pattern, 1).try_cast("int")
+    safe = lambda t: T.masked_paths(T.redacted_secrets(t))
+    before = F.regexp_replace(F.regexp_extract(m, r"(?s)^(.*?)HTTP\s+[0-9]{3}\s*[:：]", 1), r"[\s:：]+$", "")
+    before = safe(F.btrim(before, F.lit(T.BLANK)))
+    told = http_message(status, m)
+    with_before = F.when(before != "", F.concat(before, F.lit("："), told)).otherwise(told)
+    return F.when(F.contains(m, F.lit(NO_BODY)), MESSAGES["no body"]).when(F.contains(m, F.lit(BODY_CUT)), MESSAGES["cut"]).when(status.isNull(), F.left(safe(m), F.lit(300))).otherwise(with_before)

@@ -10,18 +10,18 @@ from quire.plans.registry import query
 from quire.session import table
 
 NORM = "lower(regexp_replace({c}, '[^a-zA-Z0-9一-龥]', '', 'g'))"
-MATCH = f"""WITH f AS (SELECT page_id AS file, {NORM.format(c="regexp_extract(url, 'https?://([^?]*)', 1)")} AS s FROM pages WHERE page_id % 2 = 0),
+MATCH = f"""WITH f AS (SELECT page_id AS file, {NORM.format(c="regexp_extract(url, 'https?://([^?]*)', 1)")} AS s FROM pages),
 t AS (SELECT page_id AS id, {NORM.format(c="regexp_extract(url, 'https?://[^.]*(.*)', 1)")} AS t,
- list_filter(list_transform(regexp_split_to_array(regexp_extract(url, 'https?://[^.]*(.*)', 1), '\\W+'), lambda w: {NORM.format(c='w')}), lambda w: length(w) >= 3)[1:8] AS words FROM pages WHERE page_id % 2 = 1),
+ list_filter(list_transform(regexp_split_to_array(regexp_extract(url, 'https?://[^.]*(.*)', 1), '\\W+'), lambda w: {NORM.format(c='w')}), lambda w: length(w) >= 3)[1:8] AS words FROM pages),
 p AS (SELECT id, file, CASE WHEN contains(s, left(t, 18)) OR contains(t, s) THEN 70 WHEN contains(s, left(t, 10)) THEN 45 ELSE 0 END AS base, len(list_filter(words, lambda w: contains(s, w))) AS hits, len(words) AS n FROM t, f WHERE t <> '' AND s <> ''),
 c AS (SELECT id, file, (base + CASE WHEN hits >= 3 THEN 25 + hits * 10 WHEN hits = 2 THEN {{two}} WHEN hits = 1 AND n <= 2 THEN {{one}} ELSE 0 END)::INT AS score FROM p)
 SELECT id, file, score FROM c WHERE score >= {{least}} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, file) = 1"""
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every page as a title and as a file."""
     p = table(spark, sf_dir, "pages")
-    titles = p.filter("page_id % 2 = 1").select(F.col("page_id").alias("id"), F.regexp_extract("url", "https?://[^.]*(.*)", 1).alias("title"))
-    return titles, p.filter("page_id % 2 = 0").select(F.col("page_id").alias("file"), F.regexp_extract("url", r"https?://([^?]*)", 1).alias("stem"))
+    return p.select(F.col("page_id").alias("id"), F.regexp_extract("url", "https?://[^.]*(.*)", 1).alias("title")), p.select(F.col("page_id").alias("file"), F.regexp_extract("url", r"https?://([^?]*)", 1).alias("stem"))
 
 
 @query("title_links", MATCH.format(two=20, one=0, least=70))
@@ -34,23 +34,6 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.title_matches(*sides(spark, sf_dir), linking.LENIENT)
 
 
-def whole_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every page as a title and as a file."""
-    p = table(spark, sf_dir, "pages")
-    return p.select(F.col("page_id").alias("id"), F.regexp_extract("url", "https?://[^.]*(.*)", 1).alias("title")), p.select(F.col("page_id").alias("file"), F.regexp_extract("url", r"https?://([^?]*)", 1).alias("stem"))
-
-
-@query("title_links_whole")
-def title_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """title_links of all pages on both sides; the SQL of that one halves each."""
-    return linking.title_matches(*whole_sides(spark, sf_dir), linking.STRICT)
-
-
-@query("title_search_whole")
-def title_search_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.title_matches(*whole_sides(spark, sf_dir), linking.LENIENT)
-
-
 @query("note_files", "SELECT o_orderkey AS path, 'lib/' || o_custkey || '.pdf' AS file FROM orders")
 def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as notes that name their customer's file, by path, name or stem."""

@@ -137,3 +137,31 @@ def extracted_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = markup.extracted_math(F.concat(F.lit("a $x$ `$no$` $$\n"), kind, F.lit(" \nz$$ "), kind, F.lit(" $$y$$ $5")))
     rows = table(spark, sf_dir, "events").select("event_id", found.alias("f"))
     return rows.select("event_id", "f.text", F.array_join(F.transform("f.formulas", lambda m: F.concat_ws(":", m["tex"], m["display"].cast("string"))), "|").alias("formulas"))
+
+
+@query("sanitized_translations", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'a $x$ ' || event_type || chr(10) || 'b' WHEN 1 THEN 'end $$y' || event_id || '$$ `$USER` c' WHEN 2 THEN event_type
+ WHEN 3 THEN 'at ⟦FORMULA:1.0,2.0,' || CASE WHEN event_id % 2 = 0 THEN '3' ELSE '4' END || '.0,9.5⟧ ok' WHEN 4 THEN 'x 【公式未能完整提取：PDF 排版导致分子/分母与上下标被打散，请对照左侧 PDF 原文】 y【表格未能读出，请对照左侧 PDF 原文】'
+ WHEN 5 THEN '$\\alpha$ and $\\beta$ ' || event_type ELSE 'costs ＄' || event_id END AS text FROM events""")
+def sanitized_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model with leaked thoughts, other delimiters, code, markers and lone dollar signs."""
+    k, kind, i = F.col("event_id") % 7, F.col("event_type"), F.col("event_id").cast("string")
+    wide = F.when(F.col("event_id") % 2 == 0, "3").otherwise("4")
+    given = F.when(k == 0, F.concat(F.lit("<think>why</think>a \\(x\\) "), kind, F.lit("\r\nb"))).when(k == 1, F.concat(F.lit("end \\[y"), i, F.lit("\\] `$USER` c")))
+    given = given.when(k == 2, F.concat(kind, F.lit(" <think>open"))).when(k == 3, F.concat(F.lit("at ⟦FORMULA:1, 2,"), wide, F.lit(" ,9.5⟧ ok"))).when(k == 4, "x ⟦FORMULA:4,4,2,9⟧ y⟦TABLE:1⟧")
+    given = given.when(k == 5, F.concat(F.lit("\\alpha and $\\beta$ "), kind)).otherwise(F.concat(F.lit("costs $"), i))
+    return table(spark, sf_dir, "events").select("event_id", markup.sanitized_translation(given).alias("text"))
+
+
+@query("error_messages", """WITH e AS (SELECT event_id, [401, 403, 404, 400, 503, 418, 429, 429][1 + event_id % 8] AS code, event_id % 8 AS k, event_type FROM events)
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'open [PATH] failed' WHEN event_id % 11 = 1 THEN '模型输出被长度限制截断了，回答不完整。换个模型，或缩小范围（少看上下文）再试。' ELSE CASE WHEN event_id % 3 = 0 THEN event_type || '：' ELSE '' END ||
+ CASE k WHEN 0 THEN '鉴权失败（HTTP 401）：API Key 无效或没有权限，检查 .env 里的 LLM_API_KEY / AGNES_API_KEY。' WHEN 1 THEN '鉴权被拒（HTTP 403）：API Key 没有这个模型的权限，换一个 key 或模型。' WHEN 2 THEN '接口或模型不存在（HTTP 404）：检查 .env 里的 base_url 和模型名是否写错。'
+ WHEN 3 THEN '请求被上游拒绝（HTTP 400）：模型名或参数不对，检查 .env 里的模型配置。' WHEN 4 THEN '上游模型服务暂时不可用（HTTP ' || code || '）：稍后重试；一直失败就换个模型。' WHEN 5 THEN '模型接口返回错误（HTTP ' || code || '）。'
+ WHEN 6 THEN '模型额度用完了（HTTP 429 · 配额耗尽）：套餐/余额额度已用尽，现在重试也一样。等额度恢复再试，或在 .env 里配一个你自己的模型。' ELSE '请求太频繁（HTTP 429 · 限流）：刚发出的请求超过了该模型的每分钟上限。等几十秒再试，或换一个模型/拉长间隔。' END END AS told FROM e""")
+def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exceptions of all kinds, with and without a context before the status."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    code = F.get(F.array(*[F.lit(c) for c in (401, 403, 404, 400, 503, 418, 429, 429)]), (i % 8).cast("int")).cast("string")
+    body = F.when(i % 8 == 6, "quota exceeded").when(i % 8 == 7, "Too Many Requests").otherwise("no")
+    given = F.concat(F.when(i % 3 == 0, F.concat(kind, F.lit(": "))).otherwise(""), F.lit("HTTP "), code, F.lit(": "), body)
+    given = F.when(i % 11 == 0, "open /home/me/x.txt failed").when(i % 11 == 1, "__MARK__: 译文不完整").otherwise(given)
+    return table(spark, sf_dir, "events").select("event_id", markup.error_message(given).alias("told"))

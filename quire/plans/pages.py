@@ -28,47 +28,28 @@ def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.upper_median(lines(spark, sf_dir), ["doc_id"], "x0")
 
 
-COVER = f"""{LINES}, b AS (SELECT doc_id, x1 - x0 AS w, unnest(generate_series(least(greatest(floor(x0 / 700 * 120), 0), 119)::INT, least(greatest(floor(x1 / 700 * 120), 0), 119)::INT)) AS bin FROM l WHERE (doc_id + n) % 3 > 0 AND x1 < 200 OR x0 < 10),
-c AS (SELECT doc_id, bin, sum(w) AS ink FROM b GROUP BY 1, 2)"""
-
-
-def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.coverage(lines(spark, sf_dir).filter("(doc_id + n) % 3 > 0 and x1 < 200 or x0 < 10"), ["doc_id"], 700.0)
-
-
-@query("ink_coverage", f"WITH {COVER} SELECT doc_id, bin, ink FROM c")
-def ink_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins(spark, sf_dir)
-
-
-@query("gutters", f"""WITH {COVER}, g AS (SELECT doc_id, bin, lead(bin) OVER (PARTITION BY doc_id ORDER BY bin) - bin - 1 AS length FROM c WHERE bin % 7 < 4)
-SELECT doc_id, bin + 1 AS start, length FROM g WHERE length > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, bin) = 1""")
-def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.longest_gap(bins(spark, sf_dir).filter("bin % 7 < 4"), ["doc_id"])
-
-
 #: Every line counts; those of odd n stand in a right column.
 RIGHT = 330
-COLUMNS_COVER = f"""{LINES}, k AS (SELECT doc_id, x1 - x0 AS w, x0 + n % 2 * {RIGHT} AS x0, x1 + n % 2 * {RIGHT} AS x1 FROM l),
+COVER = f"""{LINES}, k AS (SELECT doc_id, x1 - x0 AS w, x0 + n % 2 * {RIGHT} AS x0, x1 + n % 2 * {RIGHT} AS x1 FROM l),
 b AS (SELECT doc_id, w, unnest(generate_series(least(greatest(floor(x0 / 700 * 120), 0), 119)::INT, least(greatest(floor(x1 / 700 * 120), 0), 119)::INT)) AS bin FROM k), c AS (SELECT doc_id, bin, sum(w) AS ink FROM b GROUP BY 1, 2)"""
 
 
-def column_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = F.col("n") % 2 * RIGHT
     return layout.coverage(lines(spark, sf_dir).withColumn("x0", F.col("x0") + right).withColumn("x1", F.col("x1") + right), ["doc_id"], 700.0)
 
 
-@query("ink_coverage_whole", f"WITH {COLUMNS_COVER} SELECT doc_id, bin, ink FROM c")
-def ink_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ink_coverage of all lines, in two columns; the SQL of that one takes a part of them."""
-    return column_bins(spark, sf_dir)
+@query("ink_coverage", f"WITH {COVER} SELECT doc_id, bin, ink FROM c")
+def ink_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink of all lines, in two columns."""
+    return bins(spark, sf_dir)
 
 
-@query("gutters_whole", f"""WITH {COLUMNS_COVER}, g AS (SELECT doc_id, bin, lead(bin) OVER (PARTITION BY doc_id ORDER BY bin) - bin - 1 AS length FROM c WHERE ink > 0)
+@query("gutters", f"""WITH {COVER}, g AS (SELECT doc_id, bin, lead(bin) OVER (PARTITION BY doc_id ORDER BY bin) - bin - 1 AS length FROM c WHERE ink > 0)
 SELECT doc_id, bin + 1 AS start, length FROM g WHERE length > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, bin) = 1""")
-def gutters_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gutters of all lines and bins: gaps come from where lines stand, none is made by removing ink."""
-    return layout.longest_gap(column_bins(spark, sf_dir), ["doc_id"])
+def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between all lines, as they stand."""
+    return layout.longest_gap(bins(spark, sf_dir), ["doc_id"])
 
 
 BLOCKS = f"""{LINES}, p AS (SELECT *, last_value(CASE WHEN length(line) >= 4 THEN bottom END IGNORE NULLS) OVER w AS pb, last_value(CASE WHEN length(line) >= 4 THEN x0 END IGNORE NULLS) OVER w AS px
@@ -194,16 +175,9 @@ def snapped_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.snapped(cuts, layout.merged_intervals(lines(spark, sf_dir), ["doc_id"]), ["doc_id"])
 
 
-@query("clamped_boxes", f"WITH {LINES} SELECT doc_id, n, greatest(x0 - 2, 0) AS x0, greatest(top - 2, 0) AS y0, least(x1 + 2, 300) AS x1, least(bottom + 2, 90) AS y1 FROM l WHERE top < 80")
+@query("clamped_boxes", f"WITH {LINES} SELECT doc_id, n, greatest(x0 - 2, 0) AS x0, greatest(top - n // 7 * 84 - 2, 0) AS y0, least(x1 + 2, 300) AS x1, least(bottom - n // 7 * 84 + 2, 90) AS y1 FROM l")
 def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = layout.clamped(F.array("x0", "top", "x1", "bottom"), 300, 90, 2)
-    rows = lines(spark, sf_dir).filter("top < 80").select("doc_id", "n", box.alias("b"))
-    return rows.select("doc_id", "n", *[F.get("b", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
-
-
-@query("clamped_boxes_whole", f"WITH {LINES} SELECT doc_id, n, greatest(x0 - 2, 0) AS x0, greatest(top - n // 7 * 84 - 2, 0) AS y0, least(x1 + 2, 300) AS x1, least(bottom - n // 7 * 84 + 2, 90) AS y1 FROM l")
-def clamped_boxes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clamped_boxes of all lines, seven to a page; the SQL of that one takes the first page."""
+    """Boxes of all lines, seven to a page."""
     above = F.floor(F.col("n") / 7) * 84
     box = layout.clamped(F.array("x0", F.col("top") - above, "x1", F.col("bottom") - above), 300, 90, 2)
     rows = lines(spark, sf_dir).select("doc_id", "n", box.alias("b"))

@@ -34,12 +34,20 @@ def throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round("slot", 3).alias("slot"))
 
 
-@query("limiter_as_read")
+#: Requests of a user one after the other, each with the slots of the last day before it.
+LIMITER = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS tt, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT user_id, n, tt, tt AS slot, [tt] AS held FROM e WHERE n = 1
+ UNION ALL SELECT user_id, n, tt, slot, list_append(kept, slot) FROM (SELECT e.user_id, e.n, e.tt, list_filter(r.held, lambda s: s > e.tt - 86400) AS kept,
+  greatest(e.tt, coalesce(kept[-1] + 600, e.tt), CASE WHEN len(kept) >= 9 THEN kept[{which}] + 86400 ELSE e.tt END) AS slot FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, tt AS "at", slot FROM r"""
+
+
+@query("limiter_as_read", LIMITER.format(which=1))
 def limiter_as_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.limited(timed(spark, sf_dir), "user_id", "at", 9, 86400.0, 600.0)
 
 
-@query("limiter_strict")
+@query("limiter_strict", LIMITER.format(which=-9))
 def limiter_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.limited(timed(spark, sf_dir), "user_id", "at", 9, 86400.0, 600.0, strict=True)
 
@@ -87,17 +95,10 @@ def weekly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
 
 
-@query("navigation", """SELECT source, doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 9 END AS rank FROM documents WHERE contains(lower(text), 'ering') AND n_chars % 7 <> 0""")
+@query("navigation", """WITH d AS (SELECT *, coalesce(doc_id % 7 = 0, false) AS deleted FROM documents) SELECT source, doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 9 END AS rank FROM d WHERE NOT deleted AND contains(lower(text), 'ering')""")
 def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped listing: fixed folders first, other groups by name, entries by title."""
-    d = table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("ering")) & (F.col("n_chars") % 7 != 0))
-    return listed(d)
-
-
-@query("navigation_whole", """WITH d AS (SELECT *, coalesce(doc_id % 7 = 0, false) AS deleted FROM documents) SELECT source, doc_id, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 9 END AS rank FROM d WHERE NOT deleted AND contains(lower(text), 'ering')""")
-def navigation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """navigation over all documents, each with a mark of whether it is deleted; the SQL
-    of that one leaves documents out by their size, those of null size too."""
+    """A grouped listing: fixed folders first, other groups by name, entries by title;
+    entries marked as deleted are left out."""
     d = table(spark, sf_dir, "documents").withColumn("deleted", F.coalesce(F.col("doc_id") % 7 == 0, F.lit(False)))
     return listed(d.filter(~F.col("deleted") & F.contains(F.lower("text"), F.lit("ering"))))
 
@@ -113,7 +114,14 @@ def size_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(size <= 1000, "whole").when(size <= 5000, "core").otherwise("rejected").alias("gate"))
 
 
-@query("model_health")
+@query("model_health", """WITH RECURSIVE k AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS tt, CASE event_type WHEN 'click' THEN 'quota' WHEN 'purchase' THEN 'no_output' WHEN 'view' THEN 'recovered' ELSE 'check' END AS event FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tt, event) AS n FROM k),
+r AS (SELECT user_id, 0::BIGINT AS n, 0::DOUBLE AS tt, '' AS event, '' AS kind, 0::DOUBLE AS lasts, 0::DOUBLE AS probed, false AS probe FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT user_id, n, tt, event, kind, lasts, CASE WHEN kind <> '' AND tt - seen >= 900 THEN tt ELSE seen END, kind <> '' AND tt - seen >= 900 FROM (
+  SELECT user_id, n, tt, event, CASE WHEN event = 'recovered' THEN '' WHEN event <> 'check' THEN event WHEN ended THEN '' ELSE kind END AS kind,
+   CASE WHEN event = 'recovered' THEN 0 WHEN event = 'no_output' THEN tt + 60 WHEN event <> 'check' OR ended THEN 0 ELSE lasts END AS lasts, CASE WHEN event <> 'check' OR ended THEN tt ELSE probed END AS seen
+  FROM (SELECT e.*, r.kind, r.lasts, r.probed, r.kind <> '' AND r.lasts > 0 AND e.tt >= r.lasts AS ended FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT user_id, tt AS "at", event, kind <> '' AS degraded, kind, probe FROM r WHERE n > 0""")
 def model_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as models, event types as their errors and recoveries."""
     kind = F.when(F.col("event_type") == "click", "quota").when(F.col("event_type") == "purchase", "no_output").when(F.col("event_type") == "view", "recovered").otherwise("check")

@@ -91,18 +91,10 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.clipped(F.col("text"), 400).alias("clip"))
 
 
-@query("untranslated", """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*(?:[ \\t]+[A-Za-z][A-Za-z''-]*){7,}')) AS run FROM documents WHERE lang = 'es')
+@query("untranslated", """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*(?:[ \\t]+[A-Za-z][A-Za-z''-]*){7,}')) AS run FROM documents)
 SELECT doc_id, count(*) AS runs, sum(length(run))::BIGINT AS chars FROM r WHERE NOT regexp_matches(run, '(?i)https?|www|\\bdoi\\b|\\bfig\\b|\\beq\\b')
  AND NOT regexp_full_match(run, '(?:(?:[A-Z][A-Za-z''-]*|[A-Za-z''-]{1,2})(?:[ \\t]+|$))+') GROUP BY doc_id""")
 def untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return untranslated_in(docs(spark, sf_dir).filter("lang = 'es'"))
-
-
-@query("untranslated_whole", """WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*(?:[ \\t]+[A-Za-z][A-Za-z''-]*){7,}')) AS run FROM documents)
-SELECT doc_id, count(*) AS runs, sum(length(run))::BIGINT AS chars FROM r WHERE NOT regexp_matches(run, '(?i)https?|www|\\bdoi\\b|\\bfig\\b|\\beq\\b')
- AND NOT regexp_full_match(run, '(?:(?:[A-Z][A-Za-z''-]*|[A-Za-z''-]{1,2})(?:[ \\t]+|$))+') GROUP BY doc_id""")
-def untranslated_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """untranslated of all documents; the SQL of that one takes a language."""
     return untranslated_in(docs(spark, sf_dir))
 
 
@@ -117,7 +109,9 @@ def redacted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(T.redacted_secrets(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("masked_paths")
+@query("masked_paths", r"""WITH g AS (SELECT event_id, 'open /home/' || event_type || '/x.txt C:\Users\a see https://h.org/tmp/y' AS t FROM events),
+w AS (SELECT event_id, regexp_replace(t, '(^|[^A-Za-z0-9])[A-Za-z]:\\[^\s"''<>|]+', '\1[PATH]', 'g') AS t FROM g)
+SELECT event_id, regexp_replace(t, '(^|[^A-Za-z0-9:/.])/(home|Users|root|tmp|var|opt|etc|mnt)/[^\s"''<>|]+', '\1[PATH]', 'g') AS text FROM w""")
 def masked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.concat(F.lit("open /home/"), F.col("event_type"), F.lit("/x.txt C:\\Users\\a see https://h.org/tmp/y"))
     return table(spark, sf_dir, "events").select("event_id", T.masked_paths(given).alias("text"))
@@ -195,14 +189,8 @@ def unknown_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.unknown_glyphs(given).alias("text"))
 
 
-@query("token_budgets", """SELECT doc_id, least(greatest((n_chars * 1.6)::DOUBLE, 4000), 16000)::BIGINT AS low, n FROM (SELECT doc_id, n_chars, least(greatest(least(n_chars, 80000), 300), CASE lang WHEN 'en' THEN 2000 WHEN 'de' THEN 8000 ELSE 50000 END) AS n FROM documents WHERE n_chars % 5 = 0)""")
+@query("token_budgets", """SELECT doc_id, least(greatest(floor(n_chars * 16 / 10e0), 4000), 16000)::BIGINT AS low, least(greatest(least(n_chars, 80000), 300), CASE lang WHEN 'en' THEN 2000 WHEN 'de' THEN 8000 ELSE 50000 END)::BIGINT AS n FROM documents""")
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budgets_of(docs(spark, sf_dir).filter("n_chars % 5 = 0"))
-
-
-@query("token_budgets_whole", """SELECT doc_id, least(greatest(floor(n_chars * 16 / 10e0), 4000), 16000)::BIGINT AS low, least(greatest(least(n_chars, 80000), 300), CASE lang WHEN 'en' THEN 2000 WHEN 'de' THEN 8000 ELSE 50000 END)::BIGINT AS n FROM documents""")
-def token_budgets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_budgets of all documents; the SQL of that one takes a part of them."""
     return budgets_of(docs(spark, sf_dir))
 
 

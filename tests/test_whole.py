@@ -38,7 +38,7 @@ def test_untranslated(spark):
             want[r["doc_id"]] = (len(runs), sum(map(len, runs)))
     langs = {r["lang"] for r in given("documents") if r["doc_id"] in want}
     assert len(langs) > 2
-    assert {r["doc_id"]: (r["runs"], r["chars"]) for r in result(spark, "untranslated_whole")} == want
+    assert {r["doc_id"]: (r["runs"], r["chars"]) for r in result(spark, "untranslated")} == want
 
 
 def test_untranslated_of_long_runs(spark):
@@ -51,13 +51,13 @@ def test_token_budgets(spark):
     """A budget of each document, also where the number of characters isn't a multiple of five."""
     caps = {"en": 2000, "de": 8000}
     want = {r["doc_id"]: (min(max(int(r["n_chars"] * 1.6), 4000), 16000), min(max(min(r["n_chars"], 80000), 300), caps.get(r["lang"], 50000))) for r in given("documents")}
-    assert {r["doc_id"]: (r["low"], r["n"]) for r in result(spark, "token_budgets_whole")} == want
+    assert {r["doc_id"]: (r["low"], r["n"]) for r in result(spark, "token_budgets")} == want
 
 
 def test_navigation(spark):
     want = {r["doc_id"] for r in given("documents") if r["doc_id"] % 7 and "ering" in (r["text"] or "").lower()}
     assert any(r["n_chars"] % 7 == 0 for r in given("documents") if r["doc_id"] in want)
-    got = result(spark, "navigation_whole")
+    got = result(spark, "navigation")
     assert {r["doc_id"] for r in got} == want and [(r["rank"], r["source"], r["doc_id"]) for r in got] == sorted((r["rank"], r["source"], r["doc_id"]) for r in got)
 
 
@@ -80,7 +80,7 @@ def covers():
 
 def test_ink_coverage(spark):
     want = {(d, b): w for d, ink in covers().items() for b, w in ink.items()}
-    assert {(r["doc_id"], r["bin"]): r["ink"] for r in result(spark, "ink_coverage_whole")} == want
+    assert {(r["doc_id"], r["bin"]): r["ink"] for r in result(spark, "ink_coverage")} == want
 
 
 def test_gutters(spark):
@@ -90,7 +90,7 @@ def test_gutters(spark):
         gaps = [(b - a - 1, -a) for a, b in zip(bins, bins[1:], strict=False) if b - a > 1]
         if gaps:
             want[d] = (1 - max(gaps)[1], max(gaps)[0])
-    assert want and {r["doc_id"]: (r["start"], r["length"]) for r in result(spark, "gutters_whole")} == want
+    assert want and {r["doc_id"]: (r["start"], r["length"]) for r in result(spark, "gutters")} == want
 
 
 def test_clamped_boxes(spark):
@@ -102,7 +102,7 @@ def test_clamped_boxes(spark):
             x, top = 50 + k % 4 * 6, 12 * (n % 7) + k % 3
             want[r["doc_id"], n] = (x - 2, max(top - 2, 0), min(x + min(k, 500) + 2, 300), min(top + 9 + r["doc_id"] % 5 + 2, 90))
     assert max(n for _, n in want) > 7
-    assert {(r["doc_id"], r["n"]): tuple(r[c] for c in ("x0", "y0", "x1", "y1")) for r in result(spark, "clamped_boxes_whole")} == want
+    assert {(r["doc_id"], r["n"]): tuple(r[c] for c in ("x0", "y0", "x1", "y1")) for r in result(spark, "clamped_boxes")} == want
 
 
 def norm(t):
@@ -132,7 +132,7 @@ def test_titles_of_all_pages(spark):
     rows = [(r["page_id"], r["url"]) for r in given("pages")]
     part = lambda p, u: m.group(1) if (m := re.search(p, u)) else ""
     sides = [(i, part(r"https?://[^.]*(.*)", u)) for i, u in rows], [(i, part(r"https?://([^?]*)", u)) for i, u in rows]
-    for name, weights in (("title_links_whole", (20, 25, 0, 70)), ("title_search_whole", (45, 25, 35, 45))):
+    for name, weights in (("title_links", (20, 25, 0, 70)), ("title_search", (45, 25, 35, 45))):
         want = best(*sides, *weights)
         assert {i % 2 for i in want} == {0, 1} and {f % 2 for f, _ in want.values()} == {0, 1}
         assert {r["id"]: (r["file"], r["score"]) for r in result(spark, name)} == want
