@@ -85,9 +85,8 @@ def wishes(labels: DataFrame, shards: int, capacity: int) -> DataFrame:
     full = sizes.join(settled, "shard").filter("settled >= rows").select("shard", F.lit(True).alias("full"))  # `shards` rows at most
     ranked = ranked.join(F.broadcast(full), "shard", "left").withColumn("open", F.col("full").isNull())
     ranked = ranked.withColumn("nth", F.sum(F.col("open").cast("int")).over(of.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-    # the rows outside full homes go to the first shards that have room, as many as they need; only those before a shard draw its members
-    rest = F.col("members") - F.sum(F.when(F.col("home") & ~F.col("open"), F.col("here")).otherwise(0)).over(of)
-    target = F.when(F.col("open") & (F.col("nth") <= F.ceil(rest / capacity)), F.struct("place", "shard"))
+    # homes that have room, else the next best shards that do; only those before a shard draw its members
+    target = F.when(F.col("open") & (F.col("nth") <= needed), F.struct("place", "shard"))
     ranked = ranked.withColumn("all", F.array_sort(F.collect_list(target).over(of)))
     targets = F.transform(F.filter("all", lambda t: t["place"] < F.col("place")), lambda t: t["shard"])
     return ranked.filter(~F.col("home")).select("group", "shard", targets.alias("targets"), F.col("members").alias("gain")).filter(F.size("targets") > 0)
