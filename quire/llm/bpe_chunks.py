@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.bpe import ODD, ODD_SPLIT, PART, Encoder, encoder
+from quire.llm.bpe import ODD, ODD_SPLIT, PART, Encoder, Memory, encoder
 
 WINDOW, MEAN, LEAST = 16, 256, 32
 #: Chunks held at once by a worker, about 1 KB each; the memory is then emptied.
@@ -55,6 +55,8 @@ def chunk_ends(data: bytes) -> list[int]:
 class ChunkEncoder:
     def __init__(self, inner: Encoder):
         self.inner, self.memory = inner, {}
+        #: ids of parts, which chunks and windows share
+        self.parts = Memory(inner.encode)
         #: how often a window was encoded, and how often it had to grow
         self.windows = self.grown = 0
 
@@ -63,7 +65,7 @@ class ChunkEncoder:
         found = self.memory.get(data)
         if found is None:
             parts = PART.findall(data.decode())
-            found = parts, [self.inner.encode(p) for p in parts]
+            found = parts, list(map(self.parts.__getitem__, parts))
             if len(self.memory) >= MOST_CHUNKS:
                 self.memory.clear()
             self.memory[data] = found
@@ -92,7 +94,7 @@ class ChunkEncoder:
             # the join takes `reach` parts of either side, and a witness beyond if there is one
             left, right = min(reach + 1, len(parts)), min(reach + 1, len(more))
             window = PART.findall("".join(parts[-left:]) + "".join(more[:right]))
-            made = [self.inner.encode(p) for p in window]
+            made = list(map(self.parts.__getitem__, window))
             self.windows += 1
             first_agrees = left == len(parts) or (made[0] == ids[-left] and window[0] == parts[-left])
             last_agrees = right == len(more) or (made[-1] == more_ids[right - 1] and window[-1] == more[right - 1])
