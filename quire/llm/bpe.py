@@ -30,6 +30,8 @@ WITH_SPACES = re.compile(rf"{ENDINGS} ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]
 WITHOUT_SPACES = re.compile(rf"{ENDINGS}[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 #: Pieces held at once by a worker, about 200 bytes each; the memory is then emptied.
 MOST_PIECES = 500_000
+#: Longer pieces aren't held.
+LONGEST = 256
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -50,7 +52,9 @@ class Memory(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MOST_PIECES:
             self.clear()
-        found = self[piece] = self.make(piece)
+        found = self.make(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = found
         return found
 
 

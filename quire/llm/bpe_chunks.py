@@ -26,6 +26,8 @@ from quire.llm.bpe import ODD, ODD_SPLIT, PART, Encoder, Memory, encoder
 WINDOW, MEAN, LEAST = 16, 256, 32
 #: Chunks held at once by a worker, about 1 KB each; the memory is then emptied.
 MOST_CHUNKS = 60_000
+#: Longer chunks, as texts without any variety give, aren't held.
+LONGEST_CHUNK = 4096
 ROWS = 500
 
 
@@ -68,7 +70,8 @@ class ChunkEncoder:
             found = parts, list(map(self.parts.__getitem__, parts))
             if len(self.memory) >= MOST_CHUNKS:
                 self.memory.clear()
-            self.memory[data] = found
+            if len(data) <= LONGEST_CHUNK:
+                self.memory[data] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
