@@ -364,3 +364,32 @@ def error_message(message: Column) -> Column:
     told = http_message(status, m)
     with_before = F.when(before != "", F.concat(before, F.lit("："), told)).otherwise(told)
     return F.when(F.contains(m, F.lit(NO_BODY)), MESSAGES["no body"]).when(F.contains(m, F.lit(BODY_CUT)), MESSAGES["cut"]).when(status.isNull(), F.left(safe(m), F.lit(300))).otherwise(with_before)
+
+
+#: What stands for a character that a font lacks.
+FALLBACK = {
+    "˒": ",", "˓": ",", "˕": "'", "ˈ": "'", "ʼ": "'", "‘": "'", "’": "'", "“": '"', "”": '"',
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-",
+    "　": " ",
+    "⇒": "=>", "⇐": "<=", "↔": "<->", "⇔": "<=>",
+    "₊": "+", "₋": "-", "₌": "=", "₍": "(", "₎": ")", "⁺": "+", "⁻": "-", "⁼": "=", "⁽": "(", "⁾": ")",
+    "ₐ": "a", "ₑ": "e", "ₒ": "o", "ₓ": "x", "ₕ": "h", "ₖ": "k", "ₗ": "l", "ₘ": "m", "ₙ": "n", "ₚ": "p", "ₛ": "s", "ₜ": "t",
+    "ᵢ": "i", "ᵣ": "r", "ᵤ": "u", "ᵥ": "v", "ᵦ": "β", "ᵧ": "γ", "ᵨ": "ρ", "ᵩ": "φ", "ᵪ": "χ", "꜀": "_C", "∼": "~",
+} | {chr(start + i): str(i) for start in (0x2080, 0x2070) for i in range(10)}
+
+
+def in_font(text: Column, has: list[tuple[int, int]]) -> Column:
+    """The text in the characters of a font (ranges of code points, ends
+    included): line ends and tabs become spaces, a missing character its
+    fallback, if the font has that (those of several characters are taken to be
+    there), and is left out otherwise. Null counts as empty."""
+    known = lambda c: any(low <= ord(c) <= high for low, high in has)
+    table = {c: t for c, t in FALLBACK.items() if not known(c) and (len(t) > 1 or known(t))}
+    single = {"\n": " ", "\r": " ", "\t": " "} | {c: t for c, t in table.items() if len(t) == 1}
+    ranges = [*has, *((ord(c), ord(c)) for c in single | table)]
+    shown = F.regexp_replace(F.coalesce(text, F.lit("")), "[^" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]", "")
+    shown = F.translate(shown, "".join(single), "".join(single.values()))
+    for c, t in table.items():
+        if len(t) > 1:
+            shown = F.replace(shown, F.lit(c), F.lit(t))
+    return shown

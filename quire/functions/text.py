@@ -270,22 +270,25 @@ def title_words(text: Column) -> Column:
 SHORT_WORDS = (
     "a an the and or but nor for yet so in on at to of by as is are was be am it its we us our he she not no if do did can may has had who how why all any each few own too one two via per etc vs"
 )
-RELATION = "[=≈≤≥<>≠∝≡¼±×∑∫√→]"
-FRAGMENT = r"[ðÞ\[\](){}^_|/\\+*−∞∂]"
+#: Signs of a relation, signs of a broken formula, markers of unknown symbols.
+RELATION = "[=≈≤≥¼]"
+FRAGMENT = r"[ðÞ\[\]()]"
+UNKNOWN = r"\[\?\]|⟦G:\d+⟧"
+DIGIT = r"[\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 
 
 def mathish(line: Column) -> Column:
     """Whether a line is a formula or a piece of one: prose has two words of three letters or more."""
     s = F.btrim(F.coalesce(line, F.lit("")), F.lit(BLANK))
-    bare = F.regexp_replace(s, r"\(cid:\d+\)|\[\?\]", " ")
+    bare = F.regexp_replace(s, rf"\(cid:\d+\)|{UNKNOWN}", " ")
     words = F.size(F.filter(F.split(bare, "[^A-Za-z]+"), lambda w: F.length(w) >= 3))
     small = F.filter(F.split(F.lower(s), "[^a-z]+"), lambda w: w != "")
-    prose = ~s.rlike(r"\d") & ~s.rlike(FRAGMENT) & (F.size(small) > 0) & F.forall(small, lambda w: w.isin(*SHORT_WORDS.split()))
+    prose = ~s.rlike(DIGIT) & ~s.rlike(FRAGMENT) & (F.size(small) > 0) & F.forall(small, lambda w: w.isin(*SHORT_WORDS.split()))
     letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
     short = s.rlike(r"^[A-Za-z]{1,3}(?:\s+[A-Za-z]{1,3})*$")
     return (
-        F.when((s == "") | (F.length(s) > 200) | (words >= 2), False).when(s.rlike(RELATION), F.length(s) <= 160).when(s.rlike(r"\(cid:|\[\?\]"), True)
-        .when((letters <= 2) & (F.length(s) <= 12), ~prose).when(short & prose, False).otherwise(s.rlike(r"\d") | s.rlike(FRAGMENT) | short)
+        F.when((s == "") | (F.length(s) > 200) | (words >= 2), False).when(s.rlike(RELATION), F.length(s) <= 160).when(s.rlike(rf"\(cid:|{UNKNOWN}"), True)
+        .when((letters <= 2) & (F.length(s) <= 12), ~prose).when(short & prose, False).otherwise(s.rlike(DIGIT) | s.rlike(FRAGMENT) | short)
     )
 
 

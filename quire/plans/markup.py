@@ -165,3 +165,12 @@ def error_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.concat(F.when(i % 3 == 0, F.concat(kind, F.lit(": "))).otherwise(""), F.lit("HTTP "), code, F.lit(": "), body)
     given = F.when(i % 11 == 0, "open /home/me/x.txt failed").when(i % 11 == 1, "__MARK__: 译文不完整").otherwise(given)
     return table(spark, sf_dir, "events").select("event_id", markup.error_message(given).alias("told"))
+
+
+@query("font_texts", """SELECT doc_id, sha256(regexp_replace(replace(replace(translate(t, chr(10) || chr(13) || chr(9) || '—₂²', '   -2'), '⇒', '=>'), '꜀', '_C'), '[^ -~]', '', 'g')) AS digest
+FROM (SELECT doc_id, text || ' T꜀ ⇒ 5—6 H₂O, x² 漢' || chr(9) AS t FROM documents)""")
+def font_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents and some signs in a font of printable ASCII."""
+    text = F.concat(F.col("text"), F.lit(" T꜀ ⇒ 5—6 H₂O, x² 漢\t"))
+    shown = F.when(text.isNotNull(), markup.in_font(text, [(0x20, 0x7E)]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(shown.cast("binary"), 256).alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import chunking, layout, sections
+from quire.operators import chunking, formulas, layout, sections
 from quire.plans.registry import query
 from quire.session import table
 
@@ -233,3 +233,45 @@ def heading_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda of, k: F.get(F.array(*map(F.lit, of)), k.cast("int"))
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", T.heading_prefix(pick(first, e % 6), pick(second, F.floor(e / 6) % 6)).alias("n"))
+
+
+PIECES = ("[?] a", "x = 2", "plain words of some prose", "⟦G:3⟧ 1", "other lines with prose words")
+
+
+@query("broken_formulas", f"""WITH {LINES}, t AS (SELECT doc_id, n, {list(PIECES)}[1 + length(line) % 5] AS line FROM l),
+k AS (SELECT *, length(line) < 10 AS f, line LIKE '%[?]%' OR line LIKE '%⟦G:%' AS u FROM t), r AS (SELECT *, sum((NOT f)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM k),
+b AS (SELECT *, f AND count(*) OVER (PARTITION BY doc_id, f, run) <= 10 AND bool_or(u) OVER (PARTITION BY doc_id, f, run) AS broken, row_number() OVER (PARTITION BY doc_id, f, run ORDER BY n) AS i FROM r)
+SELECT doc_id, md5(string_agg(CASE WHEN broken THEN '⟦FORMULA⟧' ELSE line END, chr(10) ORDER BY n)) AS digest, count(*) FILTER (broken) AS marked FROM b WHERE NOT broken OR i = 1 GROUP BY doc_id""")
+def broken_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose lines are prose or pieces of formulas, by their lengths."""
+    line = lambda s: F.get(F.array(*map(F.lit, PIECES)), F.length(s) % 5)
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
+    found = formulas.without_broken_formulas(rows, "doc_id", "text")
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.regexp_count("text", F.lit("⟦FORMULA⟧")).cast("long").alias("marked"))
+
+
+PARTS = ("E ¼ 4", "a sentence of plain words", "x", "3 (1)", "y = 2")
+
+
+@query("formula_spans", f"""WITH {LINES}, t AS (SELECT * REPLACE ({list(PARTS)}[1 + length(line) % 5] AS line) FROM l), r AS (SELECT *, sum((line LIKE '%plain%')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM t),
+s AS (SELECT doc_id, min(n) AS first, max(n) AS last, min(x0) - 2 AS x0, greatest(min(top) - 2, 0) AS y0, max(x1) + 2 AS x1, max(bottom) + 2 AS y1, count(*) AS c, bool_or(line LIKE '%¼%' OR line LIKE '%=%') AS related, arg_max(bottom, n) - arg_min(top, n) AS h FROM r WHERE line NOT LIKE '%plain%' GROUP BY doc_id, run)
+SELECT doc_id, first, last, x0, y0, x1, y1, printf('⟦FORMULA:%.1f,%.1f,%.1f,%.1f⟧', x0, y0, x1, y1) AS marker FROM s WHERE c <= 12 AND related AND h <= 90""")
+def formula_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.get(F.array(*map(F.lit, PARTS)), F.length("line") % 5)
+    rows = lines(spark, sf_dir).select("doc_id", F.col("n").alias("line"), text.alias("text"), "x0", "x1", "top", "bottom")
+    return formulas.formula_spans(rows, ["doc_id"])
+
+
+@query("marked_symbols", f"""WITH {LINES}, t AS (SELECT *, length(line) % 4 AS k FROM l),
+g AS (SELECT doc_id, 2 * n + i AS symbol, x0 + 10 * i - n % 3 * 3 AS sx0, x0 + 10 * i - n % 3 * 3 + 5 AS sx1, top + n % 5 * 4 AS st, bottom + n % 5 * 4 - 6 AS sb FROM l, (SELECT unnest([0, 1]) AS i)),
+h AS (SELECT doc_id, n, list(symbol ORDER BY sx0, symbol) AS s FROM t JOIN g USING (doc_id) WHERE sx0 >= x0 - 4 AND sx1 <= x1 + 4 AND st >= top - 8 AND sb <= bottom + 8 GROUP BY doc_id, n)
+SELECT doc_id, n AS line, CASE k WHEN 0 THEN 'a ' || coalesce('⟦G:' || s[1] || '⟧', '[?]') || ' b' WHEN 1 THEN '[?] x' WHEN 2 THEN 'plain' ELSE '[?] more than ' || coalesce('⟦G:' || s[3] || '⟧', '[?]') END AS text FROM t LEFT JOIN h USING (doc_id, n)""")
+def marked_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two symbols about every line, some of them outside its box."""
+    given = ("a (cid:7) b", "(cid:1)(cid:2) x", "plain", "(cid:3) + (cid:4) more than (cid:5)")
+    all_ = lines(spark, sf_dir)
+    rows = all_.select("doc_id", F.col("n").alias("line"), F.get(F.array(*map(F.lit, given)), F.length("line") % 4).alias("text"), "x0", "x1", "top", "bottom")
+    i, down = F.explode(F.array(F.lit(0), F.lit(1))).alias("i"), F.col("n") % 5 * 4
+    x0 = F.col("x0") + 10 * F.col("i") - F.col("n") % 3 * 3
+    symbols = all_.select("*", i).select("doc_id", (2 * F.col("n") + F.col("i")).alias("symbol"), x0.alias("x0"), (x0 + 5).alias("x1"), (F.col("top") + down).alias("top"), (F.col("bottom") + down - 6).alias("bottom"))
+    return formulas.marked_symbols(rows, symbols, ["doc_id"])
