@@ -195,7 +195,36 @@ def merged_fragments(boxes: DataFrame, by: list[str], gap: float = 5.0, fragile:
     return boxes.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in boxes.dtypes))
 
 
-def column_gap(words: DataFrame, by: list[str], width: float, height: float, y_split: float, bins: int = BINS) -> DataFrame:
+def inked(words: DataFrame, by: list[str], width: float, faint: float = 0.5) -> DataFrame:
+    """by, low, high: bits of the bins (0 to 59, 60 to 119) with more than `faint`
+    ink. A word wider than that fills its bins alone, so bits are or-ed before the
+    shuffle; only narrower words are summed by bin."""
+    at = lambda c: F.least(F.greatest(F.floor(F.col(c) / width * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    wide = F.col("x1") - F.col("x0") > faint
+    rows = words.filter("x1 >= x0").select(*by, wide.alias("_wide"), at("x0").alias("_a"), at("x1").alias("_b"))
+    bits = lambda o: F.expr(f"if(_wide, shiftleft(shiftleft(1L, greatest(least(_b, {o + 59}) - greatest(_a, {o}) + 1, 0)) - 1L, greatest(_a - {o}, 0) % 60), 0L)")
+    one = lambda o: F.expr(f"if(bin between {o} and {o + 59}, shiftleft(1L, bin % 60), 0L)")
+    narrow = coverage(words.filter(~wide), by, width).filter(F.col("ink") > faint).select(*by, one(0).alias("low"), one(60).alias("high"))
+    return rows.select(*by, bits(0).alias("low"), bits(60).alias("high")).unionByName(narrow).groupBy(*by).agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
+
+
+def bins_between(first: str, last: str) -> Column:
+    """The inked bins from first to last, of bits low and high."""
+    return F.expr(f"filter(sequence({first}, {last}), b -> (shiftright(if(b < 60, low, high), b % 60) & 1L) = 1L)")
+
+
+def widest_gap(words: DataFrame, by: list[str], width: float) -> DataFrame:
+    """by, start, length: the longest run of bins with next to no ink in the
+    middle 70 % of the width, the first of equals; its borders count as ink."""
+    lo, hi = int(BINS * 0.15), int(BINS * 0.85)
+    # one pass over the bins: the last one with ink, and the best run so far
+    run = F.expr(f"""aggregate(sequence({lo}, {hi}), named_struct('last', {lo - 1}, 'start', {lo}, 'length', 0),
+        (acc, b) -> if(b < {hi} and (shiftright(if(b < 60, low, high), b % 60) & 1L) = 0, acc,
+            named_struct('last', b, 'start', if(b - acc.last - 1 > acc.length, acc.last + 1, acc.start), 'length', greatest(b - acc.last - 1, acc.length))))""")
+    return inked(words, by, width).select(*by, run.alias("_run")).select(*by, "_run.start", "_run.length")
+
+
+def column_gap(words: DataFrame, by: list[str], width: float, height: float, y_split: float | Column) -> DataFrame:
     """by, x_mid: the middle of the gutter below y_split that most bands agree on.
 
     Words have x0, x1, top. A band votes if it has six words, a gap of two bins
@@ -203,17 +232,13 @@ def column_gap(words: DataFrame, by: list[str], width: float, height: float, y_s
     votes make a gutter, with eight words of the page on each side; of equal
     numbers of votes the one of the upper band counts.
     """
-    lo, hi, high = int(bins * 0.15), int(bins * 0.85), max(8.0, height / 40)
+    high = max(8.0, height / 40)
     banded = words.filter((F.col("top") >= y_split) & (F.col("top") < height)).withColumn("_band", F.floor((F.col("top") - y_split) / high).cast("int"))
     key = [*by, "_band"]
-    ink = coverage(banded, key, width, bins).groupBy(*key).agg(F.sort_array(F.collect_list(F.when((F.col("ink") > 0.5) & F.col("bin").between(lo, hi - 1), F.col("bin")))).alias("_ink"))
-    edges = F.concat(F.array(F.lit(lo - 1)), F.col("_ink"), F.array(F.lit(hi)))
-    gaps = F.transform(F.slice("_edges", 2, bins + 2), lambda b, i: F.struct((b - F.get("_edges", i) - 1).alias("length"), (-F.get("_edges", i)).alias("before")))
-    found = ink.withColumn("_edges", edges).select(*key, F.array_max(gaps).alias("_g")).filter("_g.length >= 2")
-    found = found.select(*key, (1 - F.col("_g.before") + F.col("_g.length") / 2).alias("_mid"))
-    at = F.col("_mid") * width / bins
+    found = widest_gap(banded, key, width).filter("length >= 2").select(*key, (F.col("start") + F.col("length") / 2).alias("_mid"))
+    at = F.col("_mid") * width / BINS
     sides = banded.join(found, key).groupBy(*key, "_mid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x1") <= at).alias("left"), F.count_if(F.col("x0") >= at).alias("right"))
     votes = sides.filter("n >= 6 and left >= 3 and right >= 3").groupBy(*by, F.bround("_mid").cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("votes"), F.min("_band").alias("first"))
-    top = votes.groupBy(*by).agg(F.max(F.struct("votes", (-F.col("first")).alias("first"), "_bin")).alias("_t")).filter("_t.votes >= 3").select(*by, (F.col("_t._bin") * width / bins).alias("x_mid"))
+    top = votes.groupBy(*by).agg(F.max(F.struct("votes", (-F.col("first")).alias("first"), "_bin")).alias("_t")).filter("_t.votes >= 3").select(*by, (F.col("_t._bin") * width / BINS).alias("x_mid"))
     held = words.join(top, by).groupBy(*by, "x_mid").agg(F.count_if(F.col("x1") <= F.col("x_mid") + 1).alias("left"), F.count_if(F.col("x0") >= F.col("x_mid") - 1).alias("right"))
     return held.filter("left >= 8 and right >= 8").select(*by, "x_mid")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import chunking, formulas, layout, sections
+from quire.operators import assembly, chunking, formulas, layout, sections
 from quire.plans.registry import query
 from quire.session import table
 
@@ -275,3 +275,29 @@ def marked_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = F.col("x0") + 10 * F.col("i") - F.col("n") % 3 * 3
     symbols = all_.select("*", i).select("doc_id", (2 * F.col("n") + F.col("i")).alias("symbol"), x0.alias("x0"), (x0 + 5).alias("x1"), (F.col("top") + down).alias("top"), (F.col("bottom") + down - 6).alias("bottom"))
     return formulas.marked_symbols(rows, symbols, ["doc_id"])
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents on pages of 360: two lines across, then two
+    columns of five words a line, but every seventh page and the first third of every fifth in one."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "text")).filter("text <> ''")
+    k, page = F.col("n") % 360, F.floor(F.col("n") / 360)
+    wide = (k < 20) | (page % 7 == 6) | ((page % 5 == 4) & (k < 120))
+    column, row = F.when(wide, 0).otherwise(F.floor((k - 20) / 170)), F.when(wide, F.floor(k / 10)).otherwise(2 + F.floor((k - 20) % 170 / 5))
+    x0 = 40 + F.when(wide, k % 10 * 52).otherwise((k - 20) % 170 % 5 * 50 + column * 270)
+    top = (30 + row * 20 + F.length("text") % 2).cast("double")
+    wide_as = F.least(4 * F.length("text"), F.lit(50))
+    return words.select("doc_id", page.alias("page"), x0.cast("double").alias("x0"), (x0 + wide_as).cast("double").alias("x1"), top.alias("top"), (top + 9).alias("bottom"), "text")
+
+
+@query("page_regions")
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assembly.regions(page_words(spark, sf_dir), ["doc_id", "page"], 620.0, 800.0)
+    return found.select("doc_id", "page", "i", "place", "x0", "top", "x1", "bottom", F.md5("text").alias("digest"))
+
+
+@query("page_texts")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, by = page_words(spark, sf_dir), ["doc_id", "page"]
+    texts = assembly.page_texts(words, assembly.regions(words, by, 620.0, 800.0), by)
+    return texts.select("doc_id", "page", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
