@@ -271,7 +271,7 @@ def wrapped_latex(c: Column) -> Column:
     group = r"\{[^{}]*+\}"
     for _ in range(DEPTH - 1):
         group = rf"\{{(?:[^{{}}]++|{group})*+\}}"
-    return F.regexp_replace(c, rf"\\(?:{COMMANDS})(?!\p{{L}})(?:[ \t]*(?:[_^][ \t]*)?{group})*", r"\$$0\$")
+    return F.regexp_replace(c, rf"\\(?:{COMMANDS})(?!\p{{L}})(?:[ \t]*(?:[_^][ \t]*)?{group})*+", r"\$$0\$")
 
 
 def extracted_math(c: Column) -> Column:
@@ -373,7 +373,7 @@ FALLBACK = {
     "　": " ",
     "⇒": "=>", "⇐": "<=", "↔": "<->", "⇔": "<=>",
     "₊": "+", "₋": "-", "₌": "=", "₍": "(", "₎": ")", "⁺": "+", "⁻": "-", "⁼": "=", "⁽": "(", "⁾": ")",
-    "ₐ": "a", "ₑ": "e", "ₒ": "o", "ₓ": "x", "ₕ": "h", "ₖ": "k", "ₗ": "l", "ₘ": "m", "ₙ": "n", "ₚ": "p", "ₛ": "s", "ₜ": "t",
+    "ₐ": "a", "ₑ": "e", "ₒ": "o", "ₓ": "x", "ₔ": "h", "ₕ": "h", "ₖ": "k", "ₗ": "l", "ₘ": "m", "ₙ": "n", "ₚ": "p", "ₛ": "s", "ₜ": "t",
     "ᵢ": "i", "ᵣ": "r", "ᵤ": "u", "ᵥ": "v", "ᵦ": "β", "ᵧ": "γ", "ᵨ": "ρ", "ᵩ": "φ", "ᵪ": "χ", "꜀": "_C", "∼": "~",
 } | {chr(start + i): str(i) for start in (0x2080, 0x2070) for i in range(10)}
 

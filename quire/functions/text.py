@@ -50,7 +50,7 @@ def section_of(title: Column) -> Column:
     return F.coalesce(equal, inside, start)
 
 
-HEADING = r"^(\(?\d{1,2}(?:\.\d{1,2})*\)?\.?|\(?[IVXLC]{1,6}\)?\.|\(?[A-H]\)?\.)\s+(\S.*)$"
+HEADING = r"^(\(?\d{1,2}(?:\.\d{1,2})*+\)?\.?|\(?[IVXLC]{1,6}\)?\.|\(?[A-H]\)?\.)\s+(\S.*)$"
 
 
 def outline_title(line: Column) -> Column:
@@ -184,7 +184,7 @@ def without_fence(text: Column) -> Column:
 
 def unknown_glyphs(text: Column) -> Column:
     """Runs of (cid:N) as one [?]."""
-    return F.regexp_replace(F.regexp_replace(text, r"\(cid:\d+\)", "[?]"), r"\[\?\](?:\s*\[\?\])+", "[?]")
+    return F.regexp_replace(F.regexp_replace(text, r"\(cid:\d+\)", "[?]"), r"\[\?\](?:\s*\[\?\])++", "[?]")
 
 
 def front_matter(text: Column) -> Column:
@@ -285,7 +285,7 @@ def mathish(line: Column) -> Column:
     small = F.filter(F.split(F.lower(s), "[^a-z]+"), lambda w: w != "")
     prose = ~s.rlike(DIGIT) & ~s.rlike(FRAGMENT) & (F.size(small) > 0) & F.forall(small, lambda w: w.isin(*SHORT_WORDS.split()))
     letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
-    short = s.rlike(r"^[A-Za-z]{1,3}(?:\s+[A-Za-z]{1,3})*$")
+    short = s.rlike(r"^[A-Za-z]{1,3}(?:\s+[A-Za-z]{1,3})*+$")
     return (
         F.when((s == "") | (F.length(s) > 200) | (words >= 2), False).when(s.rlike(RELATION), F.length(s) <= 160).when(s.rlike(rf"\(cid:|{UNKNOWN}"), True)
         .when((letters <= 2) & (F.length(s) <= 12), ~prose).when(short & prose, False).otherwise(s.rlike(DIGIT) | s.rlike(FRAGMENT) | short)
@@ -299,7 +299,7 @@ def trimmed_tail(page: Column, most: int = 1500) -> Column:
     """A page without page numbers at its end and without what follows its last
     sentence end or marker, if that is `most` characters or less. Full stops
     inside markers end no sentence, and a marker's end is a place to cut."""
-    bare = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?:(?:^|\n)[ \t\r]*\d{1,4}[ \t\r]*)+$", "")
+    bare = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?:(?:^|\n)[ \t\r]*\d{1,4}[ \t\r]*)++$", "")
     text = F.regexp_replace(bare, r"\s+$", "")
     last = F.element_at(F.split(text, MARKER, -1), -1)
     head = F.left(text, F.length(text) - F.length(last))
@@ -308,7 +308,7 @@ def trimmed_tail(page: Column, most: int = 1500) -> Column:
     return F.btrim(F.when(cut, kept).otherwise(text), F.lit(BLANK))
 
 
-NUMBERED = r"^\(?\d{1,2}(?:\.\d{1,2})*\)?\.?\s+[A-Z(]|^\(?[IVXLC]{1,6}\)?\.?\s+[A-Z]"
+NUMBERED = r"^\(?\d{1,2}(?:\.\d{1,2})*+\)?\.?\s+[A-Z(]|^\(?[IVXLC]{1,6}\)?\.?\s+[A-Z]"
 
 
 def heading_prefix(first: Column, second: Column) -> Column:

@@ -69,7 +69,7 @@ def marked_symbols(lines: DataFrame, symbols: DataFrame, by: list[str]) -> DataF
     a group. Lines and symbols of a page meet by bands of its height.
     """
     single = r"\(cid:\d+\)"
-    group = rf"{single}(?:[\s\S]{{0,3}}?{single})*"
+    group = rf"{single}(?:[\s\S]{{0,3}}?{single})*+"
     coded = F.coalesce(F.col("text").rlike(single), F.lit(False))
     cell = lambda y: F.floor(y / CELL)
     asked = lines.filter(coded).select(*by, "line", "x0", "x1", "top", "bottom", F.explode(F.sequence(cell(F.col("top") - 8), cell(F.col("bottom") + 8))).alias("_cell"))
