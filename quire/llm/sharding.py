@@ -12,16 +12,18 @@ next round. Rounds go on until no link is mended any more.
 Neighbourhoods of equal texts are complete, so what a document has to know of
 its neighbours is the number of them in each shard: a table of (text, shard)
 counts, never a list of pairs. A text with very many copies adds at most
-`shards` rows to it. Where such a text has more copies than a shard has rows, it
-has as many homes as it needs, the shards that hold most of it, and the others
-are spread over those. A home that has no row left to give is full; who can't
-get in tries the next best of the shards that aren't. Members of a home never
-leave it, so a move only ever joins a larger part, and the rounds come to an end.
+`shards` rows to it. A text with as many copies as a shard has rows gets whole
+shards first, and only what is left of it is propagated with all others, so no
+home is full of a text that small groups have to share it with. A home that has
+no row left to give is full; who can't get in tries the next best of the shards
+that aren't. Members of a home never leave it, so a move only ever joins a larger
+part, and the rounds come to an end. Ties go by hashes of ids and texts: how rows
+are partitioned plays no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,14 +49,40 @@ def buckets(rows: int, groups: int = 1) -> int:
     return max(16, min(MOST_BUCKETS // groups, -(-rows // (RANKED * groups))))
 
 
-def first_labels(nodes: DataFrame, shards: int, total: int) -> DataFrame:
+def drawn() -> Column:
+    """What orders rows that are alike to the law; those that share it are the same row."""
+    return F.xxhash64("doc_id", "group")
+
+
+def whole_shards(nodes: DataFrame, shards: int, total: int) -> tuple[DataFrame | None, int]:
+    """node, shard of the rows of large texts that fill whole shards, and the number of those, from 0."""
+    base, more = divmod(total, shards)
+    if not base:
+        return None, 0
+    # fewer than twice as many rows as shards
+    large = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= base).orderBy(F.desc("n"), "group").collect()
+    plan, used = [], 0
+    for r in large:
+        at = 0
+        while used < shards and r["n"] - at >= (size := base + (used < more)):
+            plan.append((r["group"], at, at + size, used))
+            at, used = at + size, used + 1
+    if not plan:
+        return None, 0
+    spans = nodes.sparkSession.createDataFrame(plan, "group long, start long, end long, shard int")  # `shards` rows at most
+    mine = nodes.join(F.broadcast(spans.select("group").distinct()), "group")
+    ranked = common.with_rank(mine, ["group"], [drawn(), F.col("node")], F.struct("doc_id", "node"), "rank", buckets=buckets(total, len(large)))
+    return ranked.join(F.broadcast(spans), "group").filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))).select("node", "shard"), used
+
+
+def first_labels(nodes: DataFrame, shards: int, total: int, first: int = 0) -> DataFrame:
     """Labels in order of a hash of ids, dealt out in turn: counts one apart at most."""
     linked = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     # rows of one group meet its size in several places, so that a very common text isn't one task
     linked = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = F.struct("doc_id", "node")
-    ranked = common.with_rank(nodes.select("node", "doc_id", "group"), [], [F.xxhash64("doc_id", "node"), F.col("node")], spread, "rank", buckets=buckets(total))
-    ranked = ranked.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    spread = F.struct("doc_id", "group")
+    ranked = common.with_rank(nodes.select("node", "doc_id", "group"), [], [drawn(), F.col("node")], spread, "rank", buckets=buckets(total))
+    ranked = ranked.withColumn("shard", (first + F.pmod("rank", F.lit(shards))).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     return ranked.join(linked, ["group", "salt"], "left").select("node", "doc_id", "group", F.coalesce("members", F.lit(1)).alias("members"), "shard")
 
 
@@ -97,13 +125,13 @@ def propagate(labels: DataFrame, shards: int, total: int) -> DataFrame:
     wish = wishes(labels, shards, max(1, total // shards))
     wishing = labels.filter("members > 1").join(wish, ["group", "shard"])
     # of several homes, each member draws one
-    drawn = F.get("targets", F.pmod(F.xxhash64("node"), F.size("targets")).cast("int"))
-    wishing = wishing.withColumn("target", drawn).drop("targets")
+    target = F.get("targets", F.pmod(drawn(), F.size("targets")).cast("int"))
+    wishing = wishing.withColumn("target", target).drop("targets")
     parts = buckets(total, shards * shards)
-    wishing = common.with_rank(wishing, ["shard", "target"], [F.desc("gain"), F.col("group"), F.col("node")], F.col("group"), "rank", buckets=parts)
+    wishing = common.with_rank(wishing, ["shard", "target"], [F.desc("gain"), F.col("group"), drawn(), F.col("node")], F.col("group"), "rank", buckets=parts)
     demand = wishing.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("want"))
     back = demand.select(F.col("shard").alias("target"), F.col("target").alias("shard"), F.col("want").alias("returning"))
-    free = common.with_rank(labels.filter("members = 1"), ["shard"], [F.col("node")], F.col("node"), "rank", buckets=buckets(total, shards))
+    free = common.with_rank(labels.filter("members = 1"), ["shard"], [drawn(), F.col("node")], F.struct("doc_id", "group"), "rank", buckets=buckets(total, shards))
     stock = free.groupBy(F.col("shard").alias("target")).agg(F.count(F.lit(1)).alias("free"))
     # shards * shards rows at most: the free documents of a target go to the sources in order
     pairs = demand.join(back, ["shard", "target"], "left").join(stock, "target", "left").fillna(0, ["returning", "free"])
@@ -126,21 +154,29 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = 12, trace:
     Law `rows`: counts of shards are one apart at most. Slots run from 0
     without gaps. Rows of equal texts (nulls are alike) are linked. Rounds end
     when no more links are whole than before, after `rounds` at the latest;
-    `trace` gets the numbers of links cut and whole before each. Repeated rows
+    `trace` gets the numbers of links cut and whole before each, of the rows that
+    don't fill whole shards with one text. Repeated rows
     are rows of their own, a null doc_id sorts first, an empty table gives no
     rows. Other columns are not read.
     """
     nodes = common.written(documents_as_nodes(docs).withColumn("node", F.monotonically_increasing_id()), "nodes")
     total, trace = nodes.count(), [] if trace is None else trace
-    labels = common.written(first_labels(nodes, shards, total), "labels")
+    filled, used = whole_shards(nodes, shards, total)
+    rest, open_ = nodes, max(1, shards - used)
+    if filled is not None:
+        filled = common.written(filled, "filled")
+        rest = common.written(nodes.join(filled.select("node"), "node", "left_anti"), "rest")
+        total = rest.count()
+    labels = common.written(first_labels(rest, open_, total, used), "labels")
     trace.append(mended(labels))
     for _ in range(rounds):
         if not trace[-1][0]:
             break
-        labels = common.written(propagate(labels, shards, total), "labels")
+        labels = common.written(propagate(labels, open_, total), "labels")
         trace.append(mended(labels))
         if trace[-1][1] <= trace[-2][1]:
             break
-    rows = nodes.join(labels.select("node", "shard"), "node")
+    homes = labels.select("node", "shard")
+    rows = nodes.join(homes if filled is None else homes.unionByName(filled), "node")
     slotted = common.with_rank(rows, ["shard"], [F.col("doc_id"), F.col("node")], F.col("node"), "slot", buckets=buckets(total, shards))
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
