@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import spacing
 from quire.functions import text as T
 from quire.operators import assembly, chunking, formulas, layout, sections
 from quire.plans.registry import query
@@ -301,3 +302,21 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, by = page_words(spark, sf_dir), ["doc_id", "page"]
     texts = assembly.page_texts(words, assembly.regions(words, by, 620.0, 800.0), by)
     return texts.select("doc_id", "page", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+COMMON = ", ".join(f"'{w}'" for w in dict.fromkeys(spacing.COMMON))
+
+
+@query("healed_lines", f"""WITH l AS (SELECT doc_id, n, list_filter(string_split(line, ' '), lambda w: w <> '') AS w FROM (SELECT doc_id, generate_subscripts(s, 1) - 1 AS n, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))),
+g AS (SELECT doc_id, n, w, array_to_string(w, '') AS t, len(list_filter(w, lambda x: list_contains([{COMMON}], lower(trim(x, '.,;:''()[]'))))) AS hits, list_max(list_transform(w, lambda x: length(x))) AS most FROM l)
+SELECT doc_id, n, md5(CASE WHEN length(t) >= 16 AND length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) >= length(t) * 0.9 AND len(w) >= 3 AND most <= 26 AND length(t) >= 3 * len(w) AND hits >= 2 THEN array_to_string(w, ' ') ELSE t END) AS digest FROM g""")
+def healed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents without their spaces, in characters 5 wide, words 1.4 apart."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    # a character's place is that of it and the spaces before it
+    w = F.array_join(F.filter(F.split("line", " "), lambda w: w != ""), " ")
+    given = F.transform(F.split(w, ""), lambda c, i: F.struct(c.alias("char"), i.alias("i")))
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n"), F.replace(w, F.lit(" "), F.lit("")).alias("t"), F.filter(given, lambda c: ~c["char"].isin("", " ")).alias("p"))
+    x0 = lambda c, i: i * F.lit(5.0) + (c["i"] - i) * F.lit(1.4)
+    chars = F.transform("p", lambda c, i: F.struct(x0(c, i).alias("x0"), (x0(c, i) + 5.0).alias("x1"), F.lit(9.0).alias("size"), c["char"].alias("char")))
+    return rows.select("doc_id", "n", F.md5(spacing.healed(F.col("t"), chars)).alias("digest"))
