@@ -26,17 +26,18 @@ def without_broken_formulas(df: DataFrame, key: str, text: str, most: int = 10)
     unknown symbol becomes one marker.
 
     Only texts with such a symbol are taken apart, in one shuffle; others, null
-    ones included, stay as they are. Keys are unique.
+    ones included, stay as they are. Rows of one key stay rows of their own,
+    repeated and null keys too.
     """
     hard = F.coalesce(F.col(text).rlike(T.UNKNOWN), F.lit(False))
-    rows = df.select(key, text)
-    lines = _runs(rows.filter(hard).select(key, F.posexplode(F.split(text, "\n", -1)).alias("_n", "_line")), [key], "_n", T.mathish(F.col("_line")))
-    run = Window.partitionBy(key, "_run")
+    rows = df.select(key, text, F.monotonically_increasing_id().alias("_row"))
+    lines = _runs(rows.filter(hard).select("_row", key, F.posexplode(F.split(text, "\n", -1)).alias("_n", "_line")), ["_row"], "_n", T.mathish(F.col("_line")))
+    run = Window.partitionBy("_row", "_run")
     broken = F.col("_flag") & (F.count(F.lit(1)).over(run) <= most) & F.max(F.col("_line").rlike(T.UNKNOWN)).over(run)
     first = F.min("_n").over(run) == F.col("_n")
-    kept = lines.select(key, "_n", F.when(~broken, F.col("_line")).when(first, F.lit("⟦FORMULA⟧")).alias("_line")).filter("_line IS NOT NULL")
+    kept = lines.select("_row", key, "_n", F.when(~broken, F.col("_line")).when(first, F.lit("⟦FORMULA⟧")).alias("_line")).filter("_line IS NOT NULL")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_line"))), lambda s: s["_line"]), "\n")
-    return rows.filter(~hard).unionByName(kept.groupBy(key).agg(whole.alias(text)))
+    return rows.filter(~hard).select(key, text).unionByName(kept.groupBy("_row", key).agg(whole.alias(text)).drop("_row"))
 
 
 def formula_spans(lines: DataFrame, by: list[str], most: int = 12, height: float = 90.0, pad: float = 2.0) -> DataFrame:

@@ -45,10 +45,13 @@ def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.note_files(o.select(F.col("o_orderkey").alias("path"), body.alias("body")), files, r"\[\[([^\]]+)\]\]")
 
 
-@query("wiki_links", "SELECT o_orderkey AS path, 0 AS pos, 'c' || o_custkey AS target, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS found FROM orders")
+@query("wiki_links", """WITH t AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'c' ELSE 'd' END || c_custkey AS title, c_custkey AS path FROM customer)
+SELECT o_orderkey AS path, 0 AS pos, 'c' || o_custkey AS target, t.path AS found FROM orders LEFT JOIN t ON title = 'c' || o_custkey""")
 def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to titles of all customers, half of which have another title."""
     notes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.concat(F.lit("a [[c"), F.col("o_custkey").cast("string"), F.lit("|name]] b")).alias("body"))
-    titles = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("title"), F.col("c_custkey").alias("path"))
+    mark = F.when(F.col("c_custkey") % 2 == 0, "c").otherwise("d")
+    titles = table(spark, sf_dir, "customer").select(F.concat(mark, F.col("c_custkey").cast("string")).alias("title"), F.col("c_custkey").alias("path"))
     return linking.linked_titles(notes, titles)
 
 

@@ -88,9 +88,10 @@ def three_way_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.three_way(notes_, vault, identity.safe_target(F.col("path"))).select("event_id", "outcome")
 
 
-SNAP = """s AS (SELECT user_id AS paper_id, event_id % 2 AS dev, max(event_id) % 2 AS sg, CASE WHEN max(event_id) % 5 = 0 THEN 4 ELSE 5 END AS version FROM events GROUP BY 1, 2),
+SNAP = """e AS (SELECT *, CASE WHEN user_id % 11 = 0 THEN 0 ELSE event_id % 2 END AS dev FROM events),
+s AS (SELECT user_id AS paper_id, dev, CASE WHEN max(event_id) % 5 = 0 THEN 4 ELSE 5 END AS version FROM e GROUP BY 1, 2),
 d AS (SELECT paper_id, dev, CASE WHEN paper_id % 4 = 0 THEN 's' || dev ELSE 'same' END AS signature, version FROM s),
-pg AS (SELECT user_id AS paper_id, event_id % 2 AS dev, event_id % 12 AS page_num, event_id AS pos, event_type AS translation FROM events WHERE value > 20),
+pg AS (SELECT user_id AS paper_id, dev, event_id % 12 AS page_num, event_id AS pos, event_type AS translation FROM e),
 c AS (SELECT paper_id, count(*) FILTER (dev = 0) AS no, count(*) FILTER (dev = 1) AS nw FROM pg GROUP BY 1),
 m AS (SELECT coalesce(o.paper_id, w.paper_id) AS paper_id, CASE WHEN coalesce(nw, 0) = 0 OR w.paper_id IS NULL THEN 'old' WHEN o.signature <> w.signature THEN 'new'
  WHEN o.version = 5 AND w.version = 5 THEN 'both' WHEN w.version = 5 THEN 'new' WHEN o.version = 5 THEN 'old' ELSE 'new' END AS mode
@@ -98,10 +99,10 @@ m AS (SELECT coalesce(o.paper_id, w.paper_id) AS paper_id, CASE WHEN coalesce(nw
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "paper_id").withColumn("dev", F.col("event_id") % 2)
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "paper_id").withColumn("dev", F.when(F.col("paper_id") % 11 == 0, F.lit(0)).otherwise(F.col("event_id") % 2))
     docs = e.groupBy("paper_id", "dev").agg(F.max("event_id").alias("m"))
     docs = docs.select("paper_id", "dev", F.when(F.col("paper_id") % 4 == 0, F.concat(F.lit("s"), F.col("dev").cast("string"))).otherwise("same").alias("signature"), F.when(F.col("m") % 5 == 0, 4).otherwise(5).alias("version"))
-    pages = e.filter("value > 20").select("paper_id", "dev", (F.col("event_id") % 12).alias("page_num"), F.col("event_id").alias("pos"), F.col("event_type").alias("translation"))
+    pages = e.select("paper_id", "dev", (F.col("event_id") % 12).alias("page_num"), F.col("event_id").alias("pos"), F.col("event_type").alias("translation"))
     of = lambda d, n: d.filter(F.col("dev") == n).drop("dev")
     return of(docs, 0), of(docs, 1), of(pages, 0), of(pages, 1)
 
@@ -132,7 +133,7 @@ def output_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MAN = """l AS (SELECT o_orderkey AS path, (o_totalprice * 100)::BIGINT AS size, o_orderkey % 1000 + 0.5 AS mtime, md5(o_orderpriority) AS sha FROM orders WHERE o_orderkey % 5 <> 0),
 c AS (SELECT o_orderkey AS path, (o_totalprice * 100)::BIGINT + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS size, o_orderkey % 1000 + 0.5 AS mtime,
- CASE WHEN o_orderkey % 14 = 0 THEN 'x' ELSE md5(o_orderpriority) END AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS owner, o_orderkey % 11 = 0 AS deleted, o_orderkey % 22 = 0 AS propagate FROM orders WHERE o_orderkey % 4 <> 0)"""
+ CASE WHEN o_orderkey % 14 = 0 THEN 'x' ELSE md5(o_orderpriority) END AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS owner, o_orderkey % 11 = 0 AS deleted, o_orderkey % 22 = 0 AS propagate FROM orders WHERE o_orderkey % 4 <> 0 OR o_orderkey % 5 = 0)"""
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +141,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey")
     size, mtime, sha = F.round(F.col("o_totalprice") * 100).cast("long"), (k % 1000 + 0.5).cast("double"), F.md5(F.col("o_orderpriority").cast("binary"))
     local = o.filter(k % 5 != 0).select(k.alias("path"), size.alias("size"), mtime.alias("mtime"), sha.alias("sha256"))
-    cloud = o.filter(k % 4 != 0).select(
+    cloud = o.filter((k % 4 != 0) | (k % 5 == 0)).select(
         k.alias("path"), (size + F.when(k % 7 == 0, 1).otherwise(0)).alias("size"), mtime.alias("mtime"), F.when(k % 14 == 0, "x").otherwise(sha).alias("sha256"),
         F.when(k % 2 == 0, "a").otherwise("b").alias("owner"), (k % 11 == 0).alias("deleted"), (k % 22 == 0).alias("propagate"),
     )

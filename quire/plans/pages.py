@@ -242,11 +242,12 @@ PIECES = ("[?] a", "x = 2", "plain words of some prose", "⟦G:3⟧ 1", "other l
 @query("broken_formulas", f"""WITH {LINES}, t AS (SELECT doc_id, n, {list(PIECES)}[1 + length(line) % 5] AS line FROM l),
 k AS (SELECT *, length(line) < 10 AS f, line LIKE '%[?]%' OR line LIKE '%⟦G:%' AS u FROM t), r AS (SELECT *, sum((NOT f)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM k),
 b AS (SELECT *, f AND count(*) OVER (PARTITION BY doc_id, f, run) <= 10 AND bool_or(u) OVER (PARTITION BY doc_id, f, run) AS broken, row_number() OVER (PARTITION BY doc_id, f, run ORDER BY n) AS i FROM r)
-SELECT doc_id, md5(string_agg(CASE WHEN broken THEN '⟦FORMULA⟧' ELSE line END, chr(10) ORDER BY n)) AS digest, count(*) FILTER (broken) AS marked FROM b WHERE NOT broken OR i = 1 GROUP BY doc_id""")
+SELECT doc_id, md5(string_agg(CASE WHEN broken THEN '⟦FORMULA⟧' ELSE line END, chr(10) ORDER BY n)) AS digest, count(*) FILTER (broken) AS marked FROM b WHERE NOT broken OR i = 1 GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL""")
 def broken_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose lines are prose or pieces of formulas, by their lengths."""
     line = lambda s: F.get(F.array(*map(F.lit, PIECES)), F.length(s) % 5)
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
     found = formulas.without_broken_formulas(rows, "doc_id", "text")
     return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.regexp_count("text", F.lit("⟦FORMULA⟧")).cast("long").alias("marked"))
 
