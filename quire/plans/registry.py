@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from quire.plans import curves, linking, markup, merges, pages, rates, texts  # noqa: E402, F401  (they register their queries)
+from quire.plans import curves, linking, markup, merges, pages, rates, texts, vault  # noqa: E402, F401  (they register their queries)

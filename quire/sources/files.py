@@ -25,7 +25,12 @@ def notes(spark: SparkSession, root: str) -> DataFrame:
     """path, title, folder, body, meta, mtime of all Markdown notes in content
     folders. Files that aren't UTF-8 are left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    rows = files.select(relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return parsed(files.select(relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("mtime")))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Notes of rows (path, raw, mtime), wherever they were read. Null and
+    undecodable texts are left out; repeated paths stay repeated."""
     rows = rows.filter(identity.in_vault(F.col("path")) & F.is_valid_utf8("raw") & ~F.substring_index("path", "/", -1).startswith("."))
     meta = T.front_matter(F.col("raw"))
     body = F.regexp_replace("raw", r"(?s)^---[ \t]*\n.*?\n---[ \t]*(?:\n|$)", "")
