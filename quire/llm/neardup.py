@@ -227,8 +227,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows are in one component; an empty table gives no rows. Other columns are
     not read.
     """
+    return near_duplicate_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """As near_duplicates, with key (xxhash64 of the text) and stays: whether a
+    row is the representative of its component.
+
+    The representative is the row of the smallest doc_id, rows without an id
+    last, and of the smallest key among several rows of that id. Rows without
+    words are their own. Rows of one doc_id and one text stay together.
+    """
     rows = common.written(sketch_documents(docs), "sketches")
-    same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "key")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    same = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
     classes = common.written(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select("cid", F.posexplode("bands").alias("band", "hash")).select("cid", F.xxhash64("band", "hash").alias("key"))
@@ -249,9 +260,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not new.isEmpty():
         labels = components(links.unionByName(new))
 
-    named = classes.select("h1", "h2", "cid", "min_id").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    of_set = named.join(least, "component").select("h1", "h2", "component_id", F.lit(True).alias("linked"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select("h1", "h2", "cid", "one").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = named.groupBy("component").agg(F.min("one").alias("first"))
+    of_set = named.join(least, "component").select("h1", "h2", "first")
+    out = rows.select("doc_id", "key", "n", "h1", "h2").join(of_set, ["h1", "h2"], "left")
+    linked = (F.col("n") > 0) & F.col("first").isNotNull()
+    component = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    stays = ~linked | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("key").eqNullSafe(F.col("first.key")))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), stays.alias("stays"))
