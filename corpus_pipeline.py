@@ -32,11 +32,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each component; of repeated rows, one."""
-    # a struct is never null, so null ids meet each other; rows already dealt by it need no second shuffle to find repeated ones
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.struct("doc_id").alias("_kept")).distinct()
-    rows = docs.select(*COLUMNS, F.struct("doc_id").alias("_id"))
-    return rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id", "text"]).select(COLUMNS)
+    """Keeps one row of each component: that of the smallest doc_id, rows without
+    an id last, and of the smallest hash of the text among rows of that id. Texts
+    without words are linked with nothing. Of rows of one doc_id and one text,
+    whether linked or not, the first by lang, source and n_chars stays.
+    """
+    # rows meet by id and text, so that one kept row without an id doesn't keep all of them
+    kept = neardup.near_duplicate_rows(docs).filter("stays").select(F.struct("doc_id", "key").alias("_kept")).distinct()
+    rows = docs.select(*COLUMNS, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key")).alias("_row"))
+    found = rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi")
+    return found.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.lang", "r.source", "r.n_chars")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
