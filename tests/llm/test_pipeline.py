@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force on what the one before kept."""
 
+import re
 import zlib
 
 import numpy as np
@@ -67,6 +68,60 @@ def test_near_duplicates(stages):
     assert set(got) <= set(rows(stages[1]))
 
 
+def brute_kept(given):
+    """Rows that stay: one of each component, by (no id, id, hash of the text); all without words, repeated ones once."""
+    sets = [shingles(r[1]) for r in given]
+    up = list(range(len(given)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(given)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                up[top(a)] = top(b)
+    out = {}
+    for i, r in enumerate(given):
+        if not sets[i]:
+            out.setdefault((r[0], r[1]), []).append(r)
+    for c in {top(i) for i in range(len(given)) if sets[i]}:
+        members = [r for i, r in enumerate(given) if top(i) == c]
+        first = min(members, key=lambda r: (r[0] is None, r[0] or 0, r[-1]))
+        out.setdefault((first[0], first[1]), []).extend(m for m in members if m[:2] == first[:2])
+    # of rows of one id and text, the first by language, source and length, nulls first
+    return sorted((min(rs, key=lambda r: [(x is not None, x) for x in r[2:5]])[:5] for rs in out.values()), key=repr)
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").lower().encode())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_by_row(spark):
+    """Null and repeated ids: a row stays for its own text, not for that of another row of its id."""
+    random = np.random.default_rng(8)
+    word = lambda n: ["".join(random.choice(list("abcdefgh"), 5)) for _ in range(n)]
+    a, b, c, d, e = (word(60) for _ in range(5))
+    near = lambda w, k: " ".join([*w[:-k], *word(k)])
+    text = " ".join
+    given = [
+        (7, text(a)), (None, near(a, 2)), (None, text(b)), (None, near(b, 1)), (None, text(b)),  # a copy of 7 without an id, and a component without ids
+        (9, text(c)), (9, near(a, 1)), (9, near(c, 2)), (10, near(c, 3)),  # repeated ids with texts of two components
+        (11, text(d)), (11, text(d)), (12, text(d)), (3, near(d, 1)),
+        (None, None), (None, None), (None, ""), (5, None), (5, "  "), (5, None), (None, "one two"), (13, "one two"), (14, text(e)),
+    ]
+    rows_ = [(i, t, "en" if k % 2 else None, "xyz"[k % 3], k) for k, (i, t) in enumerate(given)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    hashed = [tuple(r) for r in docs.withColumn("h", F.xxhash64("text")).collect()]
+    for parts in (1, 5):
+        got = rows(corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SMALL))
+        assert got == brute_kept(hashed)
+    assert not any(r[0] is None and r[1] == given[1][1] for r in got) and sum(r[1] in (given[2][1], given[3][1]) for r in got) == 1
+    assert all(r[1] != given[6][1] for r in got)
+
+
 def test_personal_data(stages):
     before, after = {r[0]: r for r in rows(stages[2])}, {r[0]: r for r in rows(stages[3])}
     assert set(before) == set(after)
