@@ -3,13 +3,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import identity
 from quire.operators import merge
-from quire.plans.registry import query
+from quire.plans.registry import ORACLES, query
 from quire.session import table
+from quire.sources import keyed_log
+from quire.sources.tables import shared_dir
+
+#: Batches of device B, and a stamp after all others.
+BATCHES, LAST = 5, "9999"
 
 STAMP = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
 NOTES = f"""e AS (SELECT user_id AS id, event_id AS pos, {STAMP} AS updated_at,
@@ -35,6 +42,24 @@ def annotations_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.lww_merge(*notes(spark, sf_dir))
 
 
+@query("annotations_log", ORACLES["annotations_lww"])
+def annotations_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge of annotations_lww as a log: what stands on A, what B sends in
+    batches by place, then the deletions."""
+    old, new, dead = notes(spark, sf_dir)
+    root = f"{shared_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    ends = new.agg(F.min("pos").alias("a"), F.max("pos").alias("b")).first()
+    named = F.when(F.col("color").isin(*merge.COLOURS), F.col("color")).otherwise("yellow")
+    live = lambda d: d.withColumn("deleted", F.lit(False))
+    put = lambda d, n: keyed_log.upsert(d, root, "id", "updated_at", batch_id=n, tie="pos")
+    put(live(merge.last_by(old, ["id"], ["pos"])), 0)
+    part = F.floor((F.col("pos") - F.lit(ends["a"])) * BATCHES / F.lit((ends["b"] or 0) - (ends["a"] or 0) + 1))
+    for n in range(BATCHES):
+        put(live(new.filter(part == n).withColumn("color", named)), n + 1)
+    put(dead.select("id", F.lit(None).cast("long").alias("pos"), F.lit(LAST).alias("updated_at"), F.lit(None).cast("string").alias("color"), F.lit(True).alias("deleted")), BATCHES + 1)
+    return keyed_log.read(spark, root).drop("deleted")
+
+
 @query("annotations_override", f"""WITH {NOTES}, v AS (SELECT id, pos, updated_at, CASE WHEN color IN ('yellow','green','blue','pink','purple') THEN color ELSE 'yellow' END AS color FROM e WHERE dev = 1
  QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1)
 SELECT id, pos, updated_at, color FROM v WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM v) AND id NOT IN (SELECT id FROM d)""")
@@ -235,8 +260,6 @@ PARTS = {"push": "manifest_push", "pull": "manifest_pull", "remote": "remote_sca
 
 
 def _sync_sql() -> str:
-    from quire.plans.registry import ORACLES
-
     one = [f"SELECT '{c}' AS channel, action AS outcome, count(*) AS n FROM ({ORACLES[q]}) GROUP BY action" for c, q in PARTS.items()]
     one.append(f"SELECT 'notes' AS channel, outcome, count(*) AS n FROM ({ORACLES['three_way_notes']}) GROUP BY outcome")
     one.append(f"SELECT 'annotations' AS channel, 'kept' AS outcome, count(*) AS n FROM ({ORACLES['annotations_lww']})")

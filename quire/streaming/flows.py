@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators import rates
+from quire.sources import keyed_log
 
 
 def watch(spark: SparkSession, folder: str, schema: str, file_format: str = "json") -> DataFrame:
@@ -28,21 +29,14 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def lww_upserts(target: str, key: str, stamp: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler that keeps the newest row of each key (ties stay with the
-    older one) as versions of a table under `target`; rows with deleted = true
-    stand as tombstones and win over rows of the same or an earlier stamp."""
+def lww_upserts(target: str, key: str, stamp: str, horizon: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch handler that keeps the newest row of each key in a log under
+    `target` (`sources.keyed_log`): a batch writes its own rows, not the table's.
+    Rows with deleted = true stand as tombstones, until merges find their stamp
+    below `horizon`. A batch that comes again changes nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = f"{target}/v={batch_id:012d}"
-        rank = F.struct(F.coalesce(stamp, F.lit("")), F.col("deleted").cast("int"), -F.col("_side"))
-        rows = batch.withColumn("_side", F.lit(1))
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{target}/v={batch_id - 1:012d}").withColumn("_side", F.lit(0)))
-        rest = [c for c in batch.columns if c != key]
-        top = rows.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        top.write.mode("overwrite").parquet(path)  # the same batch again writes the same rows
+        keyed_log.upsert(batch, target, key, stamp, batch_id=batch_id, horizon=horizon)
 
     return handle
 

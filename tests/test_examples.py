@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import identity
 from quire.functions import text as T
 from quire.operators import chunking, curves, layout, linking, merge, rates, retrieval, sections
-from quire.sources import files, json_rows, sinks
+from quire.sources import files, json_rows, keyed_log, sinks
 from quire.streaming import flows
 
 
@@ -233,7 +233,7 @@ def test_streams(spark, tmp_path):
     go()
     write("2.json", [{"id": "a", "updated_at": "2", "deleted": False, "body": "new"}, {"id": "b", "updated_at": "1", "deleted": True, "body": None}])
     go()
-    rows = {r["id"]: (r["body"], r["deleted"]) for r in spark.read.parquet(f"{target}/v={1:012d}").collect()}
+    rows = {r["id"]: (r["body"], r["deleted"]) for r in keyed_log.read(spark, target, deleted=True).collect()}
     assert rows == {"a": ("new", False), "b": (None, True)}
     stream = spark.readStream.schema("ts timestamp, k string").json(str(inbox))
     assert flows.request_counts(stream, "ts", "k").isStreaming
