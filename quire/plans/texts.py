@@ -3,6 +3,9 @@ the title, their language for the tags; conversations for sections of a paper.""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from quire.functions import text as T
 from quire.operators import retrieval
 from quire.plans.registry import query
 from quire.session import table
+from quire.sources import gram_index
+from quire.sources.tables import shared_dir
 
 WORDS = ["the", "tion", "lich"]
 COUNT = "((length(lower(text)) - length(replace(lower(text), '{w}', ''))) // length('{w}'))"
@@ -35,6 +40,26 @@ def search_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(notes(spark, sf_dir), "src1 the tion lich", top_k=20)
 
 
+#: Of the asked words the rarer ones are in some notes only; one is of two characters.
+ASKED = ("src1 the tion lich", "zation ungen", "qu xyz")
+
+
+def _asked_sql(question: str) -> str:
+    words = question.split()
+    score = " + ".join(f"CASE WHEN contains(source, '{w}') THEN 10 ELSE 0 END + CASE WHEN contains(lang, '{w}') THEN 5 ELSE 0 END + 2 * least({COUNT.format(w=w)}, 10)" for w in words)
+    score += " + " + " + ".join(f"4 * len(list_filter(regexp_extract_all(text, '(?m)^#{{1,3}}\\s+(.+)$', 1), lambda h: contains(lower(h), '{w}')))" for w in words)
+    return f"(SELECT '{question}' AS question, 'd' || lpad(doc_id::VARCHAR, 12, '0') AS path, ({score})::INT AS score FROM documents WHERE score > 0 ORDER BY score DESC, path DESC LIMIT 20)"
+
+
+@query("indexed_search", " UNION ALL ".join(map(_asked_sql, ASKED)))
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best notes of several questions from a stored gram index of all documents."""
+    root = f"{shared_dir(spark)}/gram-index-{uuid.uuid4().hex}"
+    gram_index.add(notes(spark, sf_dir), root, buckets=64)
+    found = [gram_index.search(spark, root, q, top_k=20).select(F.lit(q).alias("question"), "path", "score") for q in ASKED]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("note_page", "SELECT doc_id, source, n_chars, count(*) OVER () AS total FROM documents WHERE source <> 'src3' ORDER BY doc_id DESC LIMIT 20 OFFSET 40")
 def note_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a listing with the total after filtering; filters come first."""
