@@ -12,8 +12,8 @@ from quire.functions import identity
 from quire.operators import merge
 from quire.plans.registry import ORACLES, query
 from quire.session import table
-from quire.sources import keyed_log
-from quire.sources.tables import shared_dir
+from quire.sources import cache, keyed_log
+from quire.sources.tables import shared_dir, written
 
 #: Batches of device B, and a stamp after all others.
 BATCHES, LAST = 5, "9999"
@@ -247,6 +247,25 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
 
 
+@query("cache_filled", """WITH k AS (SELECT user_id, max(event_id) AS latest FROM events WHERE event_type = 'purchase' GROUP BY 1), m AS (SELECT user_id, max(event_id) AS latest FROM events GROUP BY 1)
+SELECT e.event_type, count(k.user_id) AS hits, count(*) - count(k.user_id) AS misses, sum(coalesce(k.latest, m.latest))::BIGINT AS contents FROM events e LEFT JOIN k ON e.user_id = k.user_id JOIN m ON e.user_id = m.user_id GROUP BY 1""")
+def cache_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed cache that the purchases fill; all events look theirs up, misses
+    are computed and stored, and every event reads its content."""
+    root = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    cache.create(spark, root, "latest bigint", buckets=32)
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", cache.key([F.col("user_id")], "latest-1").alias("key"))
+    content = lambda rows: lambda wanted: wanted.select("key").join(rows.groupBy("key").agg(F.max("event_id").alias("latest")), "key")
+    bought = e.filter("event_type = 'purchase'")
+    cache.fill(bought.select("key"), root, content(bought), 1.0)
+    asked = e.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"))
+    met = written(cache.lookup(asked, root).select("key", "hit"), "cache-hits")
+    cache.fill(asked.select("key"), root, content(e), 2.0)
+    found = asked.join(met, "key").join(cache.lookup(asked, root).select("key", "latest"), "key").groupBy("event_type")
+    hits = F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0))
+    return found.agg(hits.alias("hits"), (F.sum("n") - hits).alias("misses"), F.sum(F.col("n") * F.col("latest")).alias("contents"))
+
+
 @query("corrupt_rows", """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'corrupt' WHEN json_extract(props, '$.k') IS NULL THEN 'empty' ELSE 'ok' END AS state, CASE WHEN event_id % 6 <> 0 THEN json_extract(props, '$.k')::BIGINT END AS k FROM events""")
 def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict JSON reading: corrupt rows are set apart, the others parsed."""
