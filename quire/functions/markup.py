@@ -393,3 +393,27 @@ def in_font(text: Column, has: list[tuple[int, int]]) -> Column:
         if len(t) > 1:
             shown = F.replace(shown, F.lit(c), F.lit(t))
     return shown
+
+
+def listed_category(value: Column, allowed: tuple[str, ...], fallback: bool) -> Column:
+    """value, error: a category of a fixed list. Another one is an error, with a null
+    value; with `fallback`, it and a missing one become the first of the list."""
+    known = F.coalesce(value.isin(*allowed), F.lit(False))
+    other = F.lit(allowed[0]) if fallback else F.lit(None).cast("string")
+    text = F.concat(F.lit("unknown category: "), F.coalesce(value, F.lit("")), F.lit("; allowed: "), F.lit(", ".join(allowed)))
+    return F.struct(F.when(known, value).otherwise(other).alias("value"), F.when(~known & F.lit(not fallback), text).alias("error"))
+
+
+def first_abstract(sources: list[tuple[str, Column]]) -> Column:
+    """text, source: the abstract of the first source that has one, and its name.
+
+    The first one is cleaned of tags and white space; the others are taken as they
+    are and named after it, `first+name`. Without any the text is empty and the
+    source is the first one.
+    """
+    (first, own), *others = sources
+    own = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(own, F.lit("")), "<[^>]+>", ""), r"(?U)\s+", " "))
+    picked = F.when(own != "", F.struct(own.alias("text"), F.lit(first).alias("source")))
+    for name, text in others:
+        picked = picked.when(F.coalesce(text, F.lit("")) != "", F.struct(text.alias("text"), F.lit(f"{first}+{name}").alias("source")))
+    return picked.otherwise(F.struct(F.lit("").alias("text"), F.lit(first).alias("source")))

@@ -95,3 +95,15 @@ def dominant_colour(pixels: DataFrame, by: str, bucket: int = 32) -> DataFrame:
     counts = pixels.select(by, *at).groupBy(by, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy(by).agg(F.max(F.struct("n", (-F.col("r")).alias("r"), (-F.col("g")).alias("g"), (-F.col("b")).alias("b"))).alias("t"))
     return top.select(by, (-F.col("t.r")).alias("r"), (-F.col("t.g")).alias("g"), (-F.col("t.b")).alias("b"), F.col("t.n").alias("n"))
+
+
+def edge_colour(pixels: DataFrame, pages: DataFrame, by: str) -> DataFrame:
+    """by, r, g, b from 0 to 1 of the paper: the most frequent colour of the two top
+    and two bottom rows of a page's pixels (y, x, r, g, b), ties to the one met first
+    by row and column, then to the smallest. `pages` (by, height) names the pages; one without pixels is white."""
+    at, last = F.col("y"), F.col("height")
+    times = sum(((at == row).cast("int") for row in (F.lit(0), F.lit(1), last - 2, last - 1)), F.lit(0))
+    rows = pixels.join(pages.select(by, "height"), by).withColumn("_n", times).filter("_n > 0")
+    counts = rows.groupBy(by, "r", "g", "b").agg(F.sum("_n").alias("n"), F.min(F.struct("y", "x")).alias("first"))
+    top = counts.groupBy(by).agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("first.y"), -F.col("first.x"), -F.col("r"), -F.col("g"), -F.col("b"))).alias("c"))
+    return pages.select(by).join(top, by, "left").select(by, *[F.coalesce(F.col(f"c.{k}") / 255.0, F.lit(1.0)).alias(k) for k in "rgb"])

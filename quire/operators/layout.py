@@ -242,3 +242,21 @@ def column_gap(words: DataFrame, by: list[str], width: float, height: float, y_s
     top = votes.groupBy(*by).agg(F.max(F.struct("votes", (-F.col("first")).alias("first"), "_bin")).alias("_t")).filter("_t.votes >= 3").select(*by, (F.col("_t._bin") * width / BINS).alias("x_mid"))
     held = words.join(top, by).groupBy(*by, "x_mid").agg(F.count_if(F.col("x1") <= F.col("x_mid") + 1).alias("left"), F.count_if(F.col("x0") >= F.col("x_mid") - 1).alias("right"))
     return held.filter("left >= 8 and right >= 8").select(*by, "x_mid")
+
+
+def dominant_sizes(words: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+    """by, box, size: the size to one decimal that most characters in a box have, 0 without any.
+
+    words (pos, text, size, x0, x1, top, bottom) belong to a box (box, x0, x1, top,
+    bottom) by their centre, borders included; a blank text weighs one character.
+    Ties go to the size that is met first by pos, then to the smaller. Null or sizes of 0 don't count.
+    Boxes of a page are few.
+    """
+    b = boxes.select(*by, "box", *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "top", "bottom")])
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    sized = words.withColumn("size", F.bround("size", 1)).filter("size > 0")
+    held = sized.join(b, by).filter(x.between(F.col("b_x0"), F.col("b_x1")) & y.between(F.col("b_top"), F.col("b_bottom")))
+    weight = F.greatest(F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\x0b\x0c"))), F.lit(1))
+    sums = held.groupBy(*by, "box", "size").agg(F.sum(weight).alias("w"), F.min("pos").alias("first"))
+    top = sums.groupBy(*by, "box").agg(F.max_by("size", F.struct("w", -F.col("first"), -F.col("size"))).alias("size"))
+    return boxes.select(*by, "box").join(top, [*by, "box"], "left").select(*by, "box", F.coalesce("size", F.lit(0.0)).alias("size"))

@@ -123,3 +123,43 @@ def remote_changes(local: DataFrame, remote: DataFrame) -> DataFrame:
         .when(F.coalesce("l.dirty", F.lit(False)), "conflict").otherwise("update")
     )
     return both.select("path", action.alias("action"))
+
+
+def _marked(manifest: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """The manifest with `_wanted`; ids that are asked for more than once count once."""
+    if wanted is None:
+        return manifest.withColumn("_wanted", F.lit(True))
+    ids = wanted.select(F.col("id").alias("_id")).distinct().withColumn("_wanted", F.lit(True))
+    return manifest.join(ids, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("_wanted", F.coalesce("_wanted", F.lit(False)))
+
+
+def released(manifest: DataFrame, wanted: DataFrame | None, at: Column) -> DataFrame:
+    """A manifest (id, size, blob, released_at, ...) after the files of `wanted` (id;
+    None: all) were taken from the shared folder to make room: their entries stay,
+    without a blob. Adds freed: bytes of a blob that was there, else 0. Asking again
+    only moves the stamp. An unknown size frees nothing; a null id is only in all."""
+    rows = _marked(manifest, wanted)
+    there = F.col("_wanted") & F.coalesce("blob", F.lit(False))
+    return rows.withColumns({
+        "freed": F.when(there, F.coalesce("size", F.lit(0))).otherwise(0).cast("long"),
+        "blob": F.col("blob") & ~F.col("_wanted"),
+        "released_at": F.when(F.col("_wanted"), at).otherwise(F.col("released_at")),
+    }).drop("_wanted")
+
+
+def propagated(manifest: DataFrame, wanted: DataFrame, me: str, at: Column) -> DataFrame:
+    """A manifest (id, path, deleted, propagate, propagate_by, deleted_at, ...) where
+    the entries of `wanted` (id) are deleted for the other devices too. Who asked is
+    kept, since `manifest_pull` removes nothing of the device that did. Entries
+    without a path stay as they are; `propagation` tells which."""
+    rows = _marked(manifest, wanted)
+    marks = F.col("_wanted") & (F.coalesce("path", F.lit("")) != "")
+    then = {"deleted": F.lit(True), "propagate": F.lit(True), "propagate_by": F.lit(me), "deleted_at": at}
+    return rows.withColumns({c: F.when(marks, v).otherwise(F.col(c)) for c, v in then.items()}).drop("_wanted")
+
+
+def propagation(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, outcome of each distinct id that is asked for: marked, pathless or missing."""
+    known = manifest.groupBy("id").agg(F.max(F.coalesce("path", F.lit("")) != "").alias("_path"))
+    rows = wanted.select("id").distinct().join(known, "id", "left")
+    return rows.select("id", F.when(F.col("_path").isNull(), "missing").when(F.col("_path"), "marked").otherwise("pathless").alias("outcome"))

@@ -97,3 +97,14 @@ def column_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median y of each pixel column that has three pixels."""
     rows = pixels(spark, sf_dir).groupBy("picture", "x").agg(F.median("y").alias("y"), F.count(F.lit(1)).alias("n"))
     return rows.filter("n >= 3").select("picture", "x", "y")
+
+
+@query("edge_colours", """WITH px AS (SELECT l_suppkey AS page, l_partkey % 40 AS y, l_orderkey % 300 AS x, l_linenumber * 16 AS r, l_linenumber % 2 * 32 AS g, (l_quantity % 4)::INT * 64 AS b FROM lineitem),
+s AS (SELECT page, r, g, b, sum((y = 0)::INT + (y = 1)::INT + (y = h - 2)::INT + (y = h - 1)::INT) AS n, min((y, x)) AS first FROM px JOIN (SELECT page, 20 + page % 21 AS h FROM (SELECT DISTINCT page FROM px)) USING (page) WHERE y IN (0, 1, h - 2, h - 1) GROUP BY page, r, g, b),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, first, r, g, b) = 1)
+SELECT s_suppkey AS page, coalesce(r / 255.0::DOUBLE, 1) AS r, coalesce(g / 255.0::DOUBLE, 1) AS g, coalesce(b / 255.0::DOUBLE, 1) AS b FROM supplier LEFT JOIN t ON page = s_suppkey""")
+def edge_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as pixels of their supplier's page, whose paper has the colour of its edges."""
+    k = F.col
+    px = table(spark, sf_dir, "lineitem").select(k("l_suppkey").alias("page"), (k("l_partkey") % 40).alias("y"), (k("l_orderkey") % 300).alias("x"), (k("l_linenumber") * 16).alias("r"), (k("l_linenumber") % 2 * 32).alias("g"), ((k("l_quantity") % 4).cast("int") * 64).alias("b"))
+    return curves.edge_colour(px, table(spark, sf_dir, "supplier").select(k("s_suppkey").alias("page"), (20 + k("s_suppkey") % 21).alias("height")), "page")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import markup
+from quire.operators import merge
 from quire.plans.registry import query
 from quire.session import table
 
@@ -70,11 +71,44 @@ def exported_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("pages"), F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda i: i.cast("string")), ",").alias("which"))
 
 
-@query("released_files", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'a' END AS owner, o_orderkey % 5 = 0 AS deleted, o_orderkey % 10 = 0 AS propagate FROM orders")
+@query("released_files", """WITH r AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'), d AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity <= 2),
+m AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'p/' || o_orderkey END AS path, (o_totalprice * 100)::BIGINT AS size, o_orderstatus <> 'P' AS blob FROM orders)
+SELECT m.id, m.path, blob AND r.id IS NULL AS blob, CASE WHEN blob AND r.id IS NOT NULL THEN size ELSE 0 END AS freed, CASE WHEN r.id IS NOT NULL THEN '2000-01-01' END AS released_at,
+ d.id IS NOT NULL AND path IS NOT NULL AS deleted, CASE WHEN d.id IS NOT NULL AND path IS NOT NULL THEN 'me' END AS propagate_by, CASE WHEN d.id IS NULL THEN '' WHEN path IS NULL THEN 'pathless' ELSE 'marked' END AS outcome
+FROM m LEFT JOIN r ON r.id = m.id LEFT JOIN d ON d.id = m.id""")
 def released_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Releases and propagated deletes as an update of manifest rows."""
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(k, F.when(k % 3 != 0, "a").alias("owner"), (k % 5 == 0).alias("deleted"), ((k % 5 == 0) & (k % 2 == 0)).alias("propagate"))
+    """Orders as shared files: those with returned items are released, those with
+    items of a small quantity deleted on the other devices too."""
+    none, no, now = F.lit(None).cast("string"), F.lit(False), F.lit("2000-01-01")
+    k, items = F.col("o_orderkey"), table(spark, sf_dir, "lineitem")
+    path = F.when(F.col("o_orderpriority") != "1-URGENT", F.concat(F.lit("p/"), k.cast("string")))
+    state = (none.alias("released_at"), no.alias("deleted"), no.alias("propagate"), none.alias("propagate_by"), none.alias("deleted_at"))
+    shared = table(spark, sf_dir, "orders").select(k.alias("id"), path.alias("path"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size"), (F.col("o_orderstatus") != "P").alias("blob"), *state)
+    asked = items.filter("l_quantity <= 2").select(F.col("l_orderkey").alias("id"))
+    after = merge.propagated(merge.released(shared, items.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), now), asked, "me", now)
+    rows = after.join(merge.propagation(shared, asked), "id", "left")
+    return rows.select("id", "path", "blob", "freed", "released_at", "deleted", "propagate_by", F.coalesce("outcome", F.lit("")).alias("outcome"))
+
+
+ALLOWED = ("src1", "src2", "src0")
+
+
+@query("listed_categories", """SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2') THEN source END AS strict, CASE WHEN source IN ('src0', 'src1', 'src2') THEN NULL ELSE 'unknown category: ' || coalesce(source, '') || '; allowed: src1, src2, src0' END AS error,
+ CASE WHEN source IN ('src0', 'src1', 'src2') THEN source ELSE 'src1' END AS filled FROM documents""")
+def listed_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of documents held against a list: refused, or the first of it instead."""
+    strict, filled = (markup.listed_category(F.col("source"), ALLOWED, f) for f in (False, True))
+    return table(spark, sf_dir, "documents").select("doc_id", strict["value"].alias("strict"), strict["error"].alias("error"), filled["value"].alias("filled"))
+
+
+@query("abstract_sources", """WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<article><h1>[^<]*</h1><p>(.*?)</p>', 1) AS own, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad FROM pages),
+c AS (SELECT *, trim(regexp_replace(regexp_replace(own, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM p)
+SELECT page_id, CASE WHEN clean <> '' THEN clean WHEN title <> '' THEN title ELSE coalesce(ad, '') END AS text, CASE WHEN clean <> '' THEN 'article' WHEN title <> '' THEN 'article+title' WHEN ad <> '' THEN 'article+ad' ELSE 'article' END AS source FROM c""")
+def abstract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first paragraph of a page's article, else its title, else a note beside it."""
+    part = lambda rule: F.regexp_extract("html", rule, 1)
+    found = markup.first_abstract([("article", part(r"(?s)<article><h1>[^<]*</h1><p>(.*?)</p>")), ("title", part(r"<title>([^<]*)</title>")), ("ad", part(r'<div class="ad">([^<]*)</div>'))])
+    return table(spark, sf_dir, "pages").select("page_id", found["text"].alias("text"), found["source"].alias("source"))
 
 
 @query("block_signatures", "SELECT conv_id, 'v1' || chr(10) || string_agg(turn || ':' || trim(text, ' ' || chr(10)), chr(10) ORDER BY turn) AS signature FROM conversations GROUP BY conv_id")

@@ -109,6 +109,17 @@ def lines_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.lines_in_boxes(all_, held, ["doc_id"])
 
 
+@query("dominant_sizes", f"""WITH {LINES}, x AS (SELECT doc_id, n AS box, x0 - 20 AS bx0, x1 AS bx1, top AS bt, bottom + 60 AS bb FROM l WHERE n % 7 = 0),
+s AS (SELECT l.doc_id, x.box, round(8 + length(line) % 5 * 0.5, 1)::DOUBLE AS size, sum(greatest(length(trim(line, ' ' || chr(9) || chr(13))), 1)) AS w, min(n) AS first FROM l JOIN x ON l.doc_id = x.doc_id AND (x0 + x1) / 2 BETWEEN bx0 AND bx1 AND (top + bottom) / 2 BETWEEN bt AND bb GROUP BY 1, 2, 3),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, box ORDER BY w DESC, first) = 1) SELECT x.doc_id, x.box, coalesce(size, 0) AS size FROM x LEFT JOIN t ON x.doc_id = t.doc_id AND x.box = t.box""")
+def dominant_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of most characters in boxes over lines; a line's length gives its size."""
+    rows = lines(spark, sf_dir)
+    boxes = rows.filter("n % 7 = 0").select("doc_id", F.col("n").alias("box"), (F.col("x0") - 20).alias("x0"), "x1", "top", (F.col("bottom") + 60).alias("bottom"))
+    words = rows.withColumnsRenamed({"n": "pos", "line": "text"}).withColumn("size", 8 + F.length("text") % 5 * 0.5)
+    return layout.dominant_sizes(words, boxes, ["doc_id"])
+
+
 @query("ink_boxes", """SELECT vec_id, min(e[2 * i + 1]) AS x0, min(e[2 * i + 2]) AS y0, max(e[2 * i + 1]) AS x1, max(e[2 * i + 2]) AS y1 FROM (SELECT vec_id, embedding AS e, unnest(range(32)) AS i FROM embeddings) GROUP BY vec_id""")
 def ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as strokes of 32 points."""
