@@ -85,10 +85,11 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 128, tok
     sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("sum"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
+    # the system turn comes to the blocks of a conversation, and with them to its rows
+    sums = sums.join(firsts, F.col("_c").eqNullSafe(F.col("_conv"))).drop("_conv")
     order = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("tokens").over(order)).join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
     rows = rows.withColumn("end", F.col("before") + F.col("end")).withColumn("start", F.col("end") - F.col("tokens")).drop("_c", "_b", "before")
-    rows = rows.join(firsts, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     rows = rows.withColumn("room", F.lit(budget) - F.coalesce("system.tokens", F.lit(0)))
     rows = rows.withColumn("cell", F.floor((F.col("end") - 1) / F.col("room"))).withColumn("across", F.col("start") < F.col("cell") * F.col("room"))
     spans = near_spans(rows, history)
