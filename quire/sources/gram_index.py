@@ -4,8 +4,8 @@
     gram_index.search(spark, root, "curve snapshot")    # as operators.retrieval.search
 
 A part holds its notes in folders by bucket of the path's hash, and postings
-(gram, note) sorted by gram, so that a gram is looked up by the ranges in the
-files. A question reads the postings of its grams, then the buckets of the notes
+(gram, note) in segments sorted by gram, so that a gram is looked up by the ranges
+of their pages. A question reads the postings of its grams, then the buckets of the notes
 that have all grams of one of its words; those notes are scored on their texts,
 so an index never changes a result. Each position begins a gram (texts end in two
 NULs), so a word of one or two characters is a prefix of grams.
@@ -42,11 +42,11 @@ def latest(root: str) -> tuple[int, dict]:
 
 
 def grams(fields: list[Column]) -> Column:
-    """Arrays of the distinct grams of each piece of a note, in lower case. Pieces
-    overlap by two characters; both cuts are linear in the text."""
+    """The distinct grams of a note, in lower case. They are cut from pieces that
+    overlap by two characters, in time linear in the text."""
     text = F.concat(F.lower(F.concat_ws("\n", *fields)), F.lit("\0\0"))
     pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
-    return F.transform(pieces, lambda p: F.array_distinct(F.regexp_extract_all(p, F.lit("(?s)(?=(...))."), F.lit(1))))
+    return F.array_distinct(F.flatten(F.transform(pieces, lambda p: F.array_distinct(F.regexp_extract_all(p, F.lit("(?s)(?=(...))."), F.lit(1))))))
 
 
 def _part(notes: DataFrame, root: str, seq: int, buckets: int) -> dict:
@@ -59,9 +59,9 @@ def _part(notes: DataFrame, root: str, seq: int, buckets: int) -> dict:
     even = rows.repartitionByRange("_bucket", "note", "_chance").drop("_chance").sortWithinPartitions("_bucket", "note")
     even.write.partitionBy("_bucket").parquet(f"{root}/notes/_part={name}")
     kept = _notes(spark, root, [name]).filter(~F.col("_deleted"))
-    one = kept.select("note", F.explode(grams([F.col(c) for c in FIELDS[1:]])).alias("piece"))
-    posted = one.select(F.explode("piece").alias("gram"), "note").dropDuplicates()
-    posted.repartitionByRange("gram", "note").sortWithinPartitions("gram", "note").write.parquet(f"{root}/grams/_part={name}")
+    posted = kept.select(F.explode(grams([F.col(c) for c in FIELDS[1:]])).alias("gram"), "note")
+    # a segment for each task's notes: postings aren't shuffled, and a lookup reads a few pages of each segment
+    posted.sortWithinPartitions("gram", "note").write.parquet(f"{root}/grams/_part={name}")
     return {"name": name, "rows": _notes(spark, root, [name]).count()}
 
 
