@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,64 @@ def healed_text(text: str, chars: Iterable[Mapping]) -> str:
     return text if best is None else best[1]
 
 
+#: Places at least so far apart are different after rounding.
+APART = 0.02
+
+
+def _cut(text: str, words: list[str], line: str, apart: np.ndarray) -> str:
+    """As `healed_text` of a line of single characters at places of their own, in
+    order: line joins them, apart has the distance before each."""
+    most, known, best, tried = max(map(len, words)), hits(words), None, set()
+    for gap in sorted({round(g, 3) for g in apart[apart > 0.05].tolist()}):
+        at = np.flatnonzero(apart > max(0.35, gap * 0.9)).tolist()
+        if len(at) in tried:  # wider gaps cut at fewer places, so these are the same
+            continue
+        tried.add(len(at))
+        cut = [line[a:b] for a, b in zip([0, *at], [*at, len(line)])]
+        longest = max(map(len, cut))
+        if longest < most and longest <= 26 and len(cut) >= len(words) + 2 and len(line) >= 3 * len(cut):
+            found = hits(cut)
+            if found >= 2 and found > known and (best is None or (found, -len(cut)) > best[0]):
+                best = (found, -len(cut)), " ".join(cut)
+    return text if best is None else best[1]
+
+
+def healed_batch(texts: pa.Array, held: pa.Array) -> list[str]:
+    """`healed_text` of each row. Places are compared for all lines of a batch at
+    once; lines with doubled, blank, missing or unordered characters go one by one."""
+    given = held.flatten()
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))).astype(np.int64)
+    x0, x1, size = (pc.fill_null(pc.struct_field(given, c), 0.0).to_numpy(zero_copy_only=False) for c in ("x0", "x1", "size"))
+    char = pc.struct_field(given, "char")
+    single = pc.fill_null(pc.equal(pc.utf8_length(char), 1), False).to_numpy(zero_copy_only=False) & pc.is_valid(given).to_numpy(zero_copy_only=False)
+    single &= ~pc.fill_null(pc.utf8_is_space(char), True).to_numpy(zero_copy_only=False)
+    char = pc.fill_null(char, "").cast(pa.string())
+    apart = np.zeros(len(x0))
+    apart[1:] = x0[1:] - x1[:-1]
+    plain = single & np.isfinite(x0) & np.isfinite(x1)
+    step = np.ones(len(x0), bool)
+    step[1:] = x0[1:] - x0[:-1] > APART
+    starts = ends[:-1]
+    step[starts[starts < len(x0)]] = True
+    apart[starts[starts < len(x0)]] = 0.0
+    odd = np.append(0, np.cumsum(~(plain & step)))
+    sized = np.append(0, np.cumsum(size != 0.0))
+    at, raw = np.frombuffer(char.buffers()[1], np.int32, len(char) + 1, char.offset * 4) if len(char) else np.zeros(1, np.int32), char.buffers()[2]
+    out = []
+    for i, text in enumerate(texts.to_pylist()):
+        text, a, b = text or "", ends[i], ends[i + 1]
+        words = text.split()
+        if len(text) < 16 or b - a < 12 or max(map(len, words), default=0) < 14:
+            out.append(text)  # as it would be with any characters
+        elif odd[b] > odd[a]:
+            out.append(healed_text(text, held[i].as_py()))
+        else:
+            line = raw[at[a] : at[b]].to_pybytes().decode()
+            changes = sized[b] > sized[a] and line == "".join(words) and (text.isascii() or sum(ord(c) < 128 for c in text) >= 0.9 * len(text))
+            out.append(_cut(text, words, line, apart[a:b]) if changes else text)
+    return out
+
+
 def healed(text: Column, chars: Column) -> Column:
     """The text of a line with spaces where its characters (array of x0, x1, size,
     char) stand apart, if that makes better English of words run together.
@@ -57,8 +117,8 @@ def healed(text: Column, chars: Column) -> Column:
     by an Arrow function over lines.
     """
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, held: pd.Series) -> pd.Series:
-        return pd.Series([healed_text(t or "", () if c is None else c) for t, c in zip(texts, held)], dtype=object)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, held: pa.Array) -> pa.Array:
+        return pa.array(healed_batch(texts, held), pa.string())
 
     return run(text, chars)
