@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html import escape
 from html.parser import HTMLParser
 
@@ -146,6 +147,11 @@ def block_input(blocks: Column) -> Column:
     return F.array_join(F.transform(full, lambda b: F.concat(F.lit("⟦B"), b["i"].cast("string"), F.lit("⟧\n"), b["text"])), "\n\n")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once a row wherever f names it, inside functions of elements too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def block_output(raw: Column) -> Column:
     """(i, text) of a marked answer: closed pairs first, the last of a number;
     numbers without one run to the next opening mark or any closing one."""
@@ -153,11 +159,11 @@ def block_output(raw: Column) -> Column:
     pairs = r"(?s)⟦T(\d+)⟧(.*?)⟦/T\1⟧"
     zipped = lambda ids, texts: F.filter(F.zip_with(ids, texts, lambda i, t: F.struct(i.cast("int").alias("i"), flat(t).alias("text"))), lambda b: (b["text"] != "") & b["i"].isNotNull())
     strict = zipped(F.regexp_extract_all(raw, F.lit(pairs), F.lit(1)), F.regexp_extract_all(raw, F.lit(pairs), F.lit(2)))
-    strict = F.filter(strict, lambda b, n: ~F.exists(F.slice(strict, n + 2, 100_000), lambda c: c["i"] == b["i"]))
+    strict = once(strict, lambda s: F.filter(s, lambda b, n: ~F.exists(F.slice(s, n + 2, 100_000), lambda c: c["i"] == b["i"])))
     opened = F.transform(F.slice(F.split(raw, r"⟦T\d+⟧", -1), 2, 100_000), lambda p: F.substring_index(p, "⟦/T", 1))
     loose = zipped(F.regexp_extract_all(raw, F.lit(r"⟦T(\d+)⟧"), F.lit(1)), opened)
-    fresh = F.filter(loose, lambda b, n: ~F.exists(strict, lambda c: c["i"] == b["i"]) & ~F.exists(F.slice(loose, 1, n), lambda c: c["i"] == b["i"]))
-    return F.sort_array(F.concat(strict, fresh))
+    fresh = lambda v: F.filter(v["loose"], lambda b, n: ~F.exists(v["strict"], lambda c: c["i"] == b["i"]) & ~F.exists(F.slice(v["loose"], 1, n), lambda c: c["i"] == b["i"]))
+    return once(F.struct(strict.alias("strict"), loose.alias("loose")), lambda v: F.sort_array(F.concat(v["strict"], fresh(v))))
 
 
 def paragraphs_as_blocks(raw: Column, ids: Column) -> Column:
