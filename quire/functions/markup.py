@@ -388,17 +388,27 @@ def in_font(text: Column, has: list[tuple[int, int]]) -> Column:
     """The text in the characters of a font (ranges of code points, ends
     included): line ends and tabs become spaces, a missing character its
     fallback, if the font has that (those of several characters are taken to be
-    there), and is left out otherwise. Null counts as empty."""
+    there), and is left out otherwise. Runs of characters that the font has are
+    passed over whole. Null counts as empty."""
     known = lambda c: any(low <= ord(c) <= high for low, high in has)
     table = {c: t for c, t in FALLBACK.items() if not known(c) and (len(t) > 1 or known(t))}
     single = {"\n": " ", "\r": " ", "\t": " "} | {c: t for c, t in table.items() if len(t) == 1}
     ranges = [*has, *((ord(c), ord(c)) for c in single | table)]
-    shown = F.regexp_replace(F.coalesce(text, F.lit("")), "[^" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]", "")
-    shown = F.translate(shown, "".join(single), "".join(single.values()))
-    for c, t in table.items():
-        if len(t) > 1:
-            shown = F.replace(shown, F.lit(c), F.lit(t))
-    return shown
+    of = lambda some: "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in some)
+
+    def fallen(run: Column) -> Column:
+        shown = F.translate(F.regexp_replace(run, f"[^{of(ranges)}]", ""), "".join(single), "".join(single.values()))
+        for c, t in table.items():
+            if len(t) > 1:
+                shown = F.replace(shown, F.lit(c), F.lit(t))
+        return shown
+
+    text = F.coalesce(text, F.lit(""))
+    if not has:
+        return fallen(text)
+    held, other = rf"[{of(has)}&&[^\n\r\t]]", rf"[[^{of(has)}][\n\r\t]]"
+    runs = F.regexp_extract_all(text, F.lit(f"{held}++|{other}++"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^{held}"), r).otherwise(fallen(r))), "")
 
 
 def listed_category(value: Column, allowed: tuple[str, ...], fallback: bool) -> Column:
