@@ -42,7 +42,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, folder string, text string, size bigint, mtime bigint"
@@ -230,13 +230,21 @@ class StreamReader(DataSourceStreamReader):
         return self.vault.rows(partition)
 
 
+def _files(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Buffer | bytes]]:
+    """Paths and bytes of the texts of a batch, which are not copied; nulls are empty."""
+    for path, text in zip(batch.column("path"), batch.column("text")):
+        yield path.as_py() or "", text.as_buffer() or b""
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int
     bytes: int
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
+    """Takes Arrow batches, and from them one text at a time: a batch never becomes rows of Python."""
+
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         if overwrite:
             raise ValueError("a vault keeps its versions: write in mode append")
@@ -245,18 +253,17 @@ class Writer(DataSourceWriter):
         self.root, self.expected = options["path"], options.get("expected")
         self.folder = f"v-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.root)
         base, attempt, n, size, made = f"{root}/{self.folder}", uuid.uuid4().hex, 0, 0, set()
         names: set[str] = set()
-        for row in iterator:
-            path = row["path"] or ""
+        for path, raw in (row for batch in iterator for row in _files(batch)):
             if path != posixpath.normpath(path) or path in (".", "..") or path.startswith(("/", "../")) or "\0" in path:
-                raise ValueError(f"not a path below the vault: {row['path']!r}")
+                raise ValueError(f"not a path below the vault: {path!r}")
             if path in names:
                 raise ValueError(f"two rows of {path!r}")
             names.add(path)
-            parent, raw = posixpath.dirname(path), (row["text"] or "").encode()
+            parent = posixpath.dirname(path)
             if parent not in made:
                 fs.create_dir(f"{base}/{parent}")
                 made.add(parent)
@@ -336,8 +343,12 @@ def save(df: DataFrame, root: str, expected: int | None = None) -> None:
     (out if expected is None else out.option("expected", expected)).save(root)
 
 
+def described(root: str, version: int | None = None) -> dict:
+    """What a version, the last one by default, says of itself: folder, files, bytes."""
+    fs, below = opened(root)
+    return content(fs, below, version or versions(fs, below)[-1])
+
+
 def folder(root: str, version: int | None = None) -> str:
     """The folder of a version, the last one by default, for Spark's own file sources."""
-    fs, below = opened(root)
-    wanted = version or versions(fs, below)[-1]
-    return f"{root.rstrip('/')}/{content(fs, below, wanted)['folder']}"
+    return f"{root.rstrip('/')}/{described(root, version)['folder']}"
