@@ -55,10 +55,9 @@ def vault_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}"
     magic = F.when(F.col("doc_id") % 4 == 0, "").otherwise("%PDF-1.4\n")
     vault.save(stems(spark, sf_dir).select(F.concat("stem", F.lit(".pdf")).alias("path"), F.concat(magic, F.coalesce("text", F.lit(""))).alias("text")), root)
-    held = vault.folder(root)
-    catalogue = files.pdf_catalogue(spark, held)
-    taken = files.uploads(spark, held).select("path", "accepted")
-    return catalogue.join(taken, "path").select("path", "stem", "topic", "size", "accepted")
+    held = vault.described(root)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, held["files"] // 2048, held["bytes"] >> 26)
+    return files.checked_catalogue(spark, vault.folder(root), tasks).select("path", "stem", "topic", "size", "accepted")
 
 
 @query("watched_notes", f"""WITH {PATHS} SELECT stem || '.md' AS path, strlen(body)::BIGINT AS size, md5(body) AS digest, 1::BIGINT AS seen FROM n WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0""")
