@@ -57,11 +57,11 @@ def _part(notes: DataFrame, root: str, seq: int, buckets: int) -> dict:
     rows = rows.withColumn("_bucket", F.pmod("note", F.lit(buckets)).cast("int")).withColumn("_chance", F.rand(11))
     # tasks of even size: a large bucket or a path of very many rows is several files
     even = rows.repartitionByRange("_bucket", "note", "_chance").drop("_chance").sortWithinPartitions("_bucket", "note")
-    even.write.partitionBy("_bucket").parquet(f"{root}/notes/_part={name}")
+    even.write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{root}/notes/_part={name}")
     kept = _notes(spark, root, [name]).filter(~F.col("_deleted"))
     posted = kept.select(F.explode(grams([F.col(c) for c in FIELDS[1:]])).alias("gram"), "note")
     # a segment for each task's notes: postings aren't shuffled, and a lookup reads a few pages of each segment
-    posted.sortWithinPartitions("gram", "note").write.parquet(f"{root}/grams/_part={name}")
+    posted.sortWithinPartitions("gram", "note").write.option("compression", "zstd").parquet(f"{root}/grams/_part={name}")
     return {"name": name, "rows": _notes(spark, root, [name]).count()}
 
 
