@@ -17,10 +17,10 @@ complete, so results never depend on how well bounds work.
 Rows are dealt evenly over blocks without regard to their values, so the first
 block is a fair sample. Every query meets it first, and its k-th best score
 there is a proven lower bound that it carries to all other blocks: a block none
-of whose vectors is long enough to reach the bounds of a group of queries isn't
-sent to it, rows whose bound is lower are never rescored, and most queries stop
-before the last segment. Blocks of queries are joined to
-blocks of the index by block number, so a task holds one block of either kind
+of whose vectors is long enough to reach the bound of a query doesn't get
+that query, rows whose bound is lower are never rescored, and most queries stop
+before the last segment. Queries and blocks of the index meet by
+block number in sorted streams, so a task holds one block and some queries
 at a time, and a block returns its k best per query at most.
 """
 
@@ -38,6 +38,8 @@ from pyspark.sql.window import Window
 from quire.llm import common
 
 INDEX_ROWS, QUERY_ROWS = 4096, 512
+#: Tasks that blocks of the index are dealt to at most.
+MOST_TASKS = 4096
 #: Each segment's impact is this part of the one before.
 FINER = 4
 #: Possible members a query may keep for rescoring, as a fraction of the block's rows.
@@ -178,28 +180,46 @@ def to_integers(vectors: DataFrame, scale: float) -> DataFrame:
     return vectors.filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).mapInArrow(run, "vec_id long, v binary, norm double")
 
 
-def meet(asked: DataFrame, index: DataFrame, first: int, last: int, k: int) -> DataFrame:
-    """query_id, vec_id, score: each query's k best of each of the blocks first
-    to last that reach its `least`. asked: vec_id, v, norm, least (or null), and
-    g, the number of its group."""
-    reach = F.min(F.when((F.col("norm") > 0) & F.col("least").isNotNull(), F.col("least") / F.col("norm")).otherwise(-float("inf")))
-    grouped = asked.groupBy("g").agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("asked"), reach.alias("reach"))
-    met = grouped.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(index, "block")
-    # a block none of whose vectors is long enough for any query of the group stays away
-    met = met.filter(F.col("longest") * (1 + 1e-9) >= F.col("reach"))
+def meet(asked: DataFrame, index: DataFrame, blocks: int, slices: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k best of each of the index's blocks
+    that reach its `least`. asked: vec_id, v, norm, least (or null).
+
+    A task reads a block and then the queries that it may hold rows for as a sorted
+    stream. Neither side is broadcast, only the blocks' longest norms; queries of
+    one block are dealt over `slices` copies of it.
+    """
+    reach = F.when((F.col("norm") > 0) & F.col("least").isNotNull(), F.col("least") / F.col("norm")).otherwise(-float("inf"))
+    lengths = F.broadcast(index.select("block", "longest"))
+    # a query isn't sent to a block none of whose vectors is long enough for it
+    sent = asked.withColumn("reach", reach).join(lengths, F.col("longest") * (1 + 1e-9) >= F.col("reach"))
+    unit = lambda s: (F.col("block").cast("long") * slices + s).alias("unit")
+    sent = sent.select(unit(F.pmod(F.xxhash64("vec_id"), F.lit(slices))), "vec_id", "v", "least")
+    held = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(unit(F.col("slice")), *ARROW_INDEX.names)
+    rows = held.unionByName(sent, allowMissingColumns=True).repartitionById(min(blocks * slices, MOST_TASKS), F.pmod("unit", F.lit(min(blocks * slices, MOST_TASKS))).cast("int"))
+
+    def scored(block: Block, given: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, values, least = zip(*given, strict=True)
+        found = list(best(block, list(ids), matrix(values), np.array([-np.inf if x is None else x for x in least], float), k))
+        if found:
+            cols = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, given = None, []
         for b in batches:
-            for at in range(b.num_rows):
-                (row,) = b.slice(at, 1).to_pylist()
-                given = row["asked"]
-                least = np.array([-np.inf if a["least"] is None else a["least"] for a in given], float)
-                found = list(best(Block(row), [a["vec_id"] for a in given], matrix([a["v"] for a in given]), least, k))
-                if found:
-                    cols = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            asking = list(zip(*(b.column(c).to_pylist() for c in ("vec_id", "v", "least")), strict=True))
+            for at, n in enumerate(b.column("n").to_pylist()):
+                if given and (n is not None or len(given) == QUERY_ROWS):
+                    yield from scored(block, given)
+                    given = []
+                if n is None:
+                    given.append(asking[at])
+                else:
+                    block = Block(b.slice(at, 1).to_pylist()[0])
+        if given:
+            yield from scored(block, given)
 
-    return met.drop("g", "reach", "block").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.sortWithinPartitions("unit", F.col("n").isNull()).mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -226,11 +246,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
 
     groups = max(1, -(-queries.count() // QUERY_ROWS))
     asked = to_integers(queries, scale).filter("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("q"))
-    asked = common.written(asked.select("vec_id", "q.v", "q.norm", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("g")), "asked")
+    asked = common.written(asked.select("vec_id", "q.v", "q.norm"), "asked")
     none = F.lit(None).cast("long").alias("least")
-    found = common.written(meet(asked.select("*", none), index.filter("block = 0"), 0, 0, k), "found")
+    found = common.written(meet(asked.select("*", none), index.filter("block = 0"), 1, groups, k), "found")
     if blocks > 1:
         floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-        found = found.unionByName(meet(asked.join(floors, "vec_id", "left"), index.filter("block > 0"), 1, blocks - 1, k))
+        slices = min(groups, -(-common.partitions(vectors.sparkSession) // (blocks - 1)))
+        found = found.unionByName(meet(asked.join(floors, "vec_id", "left"), index.filter("block > 0"), blocks - 1, slices, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
