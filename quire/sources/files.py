@@ -14,7 +14,8 @@ MOST_BYTES = 40 * 1024 * 1024
 
 def relative(path: Column, root: str) -> Column:
     """A file's path below the folder it was read from."""
-    return F.regexp_replace(path, rf"^.*?{_quoted(root.rstrip('/').split('/')[-1])}/", "")
+    name = root.rstrip("/").split("/")[-1]
+    return F.regexp_replace(path, rf"^.*?{'/' if name else ''}{_quoted(name)}/", "")
 
 
 def _quoted(s: str) -> str:
